@@ -31,16 +31,20 @@ def season_of(date: Column) -> Column:
     )
 
 
-def star_problem(raw: Column) -> Column:
-    """Why a typed rating does not count; null where it does. Zero stands for a store never visited."""
-    number = F.regexp_replace(raw, "^0+(?=[0-9])", "")
+def typed_number(raw: Column) -> Column:
+    """The number in a typed rating: digits only, null for anything else; too long for a number counts as 9."""
+    return F.when(raw.rlike("^[0-9]+$"), F.coalesce(raw.try_cast("bigint"), F.lit(9)))
+
+
+def star_problem(number: Column) -> Column:
+    """Why a typed number is no rating; null where it is one. Zero stands for a store never visited."""
     return (
-        F.when(raw.isNull() | ~raw.rlike("^[0-9]+$"), F.lit("not_a_number"))
-        .when(number == "0", F.lit("not_visited"))
-        .when(~number.rlike("^[1-5]$"), F.lit("out_of_range"))
+        F.when(number.isNull(), F.lit("not_a_number"))
+        .when(number == 0, F.lit("not_visited"))
+        .when(number > 5, F.lit("out_of_range"))
     )
 
 
-def stars(raw: Column) -> Column:
-    """The typed rating as 1 to 5, null where ``star_problem`` has a reason."""
-    return F.when(star_problem(raw).isNull(), raw.try_cast("int"))
+def stars(number: Column) -> Column:
+    """The typed number as 1 to 5, null where ``star_problem`` has a reason."""
+    return F.when(number.between(1, 5), number.cast("int"))

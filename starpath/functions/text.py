@@ -46,3 +46,12 @@ def fields(line: Column, limit: int = -1) -> Column:
 
 def first_field(text: Column) -> Column:
     return F.split_part(text, F.lit("::"), F.lit(1))
+
+
+def once(column: Column) -> Column:
+    """A one-row generator around a costly column: select it as a column of its own.
+
+    Spark copies an expression into every place that uses it and pushes filters on it below joins,
+    which would split a line again for each of its fields. Nothing is copied through a generator.
+    """
+    return F.explode(F.array(column))

@@ -12,7 +12,7 @@ from starpath.functions import numbers, ratings as rules, text
 def parse_ratings(lines: DataFrame) -> DataFrame:
     """``user::item::rating::date`` lines as typed columns with the bucket digit and a reject_reason."""
     parts = F.col("_parts")
-    typed = lines.withColumn("_parts", text.fields(F.col("value"))).select(
+    typed = lines.select("*", text.once(text.fields(F.col("value"))).alias("_parts")).select(
         *lines.columns,
         F.size(parts).alias("_size"),
         numbers.whole_number(F.get(parts, F.lit(0))).alias("user_id"),
@@ -50,8 +50,9 @@ def rating_lines(ratings: DataFrame, user: str = "user_id", item: str = "item_id
 
 def validate_stars(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds ``stars`` and ``reject_reason`` for ratings as typed."""
-    return df.withColumn("stars", rules.stars(F.col(raw))).withColumn(
-        "reject_reason", rules.star_problem(F.col(raw)))
+    number = F.col("_number")
+    return df.select("*", text.once(rules.typed_number(F.col(raw))).alias("_number")).select(
+        *df.columns, rules.stars(number).alias("stars"), rules.star_problem(number).alias("reject_reason"))
 
 
 def cap_per_user(ratings: DataFrame, order_by: list, cap: int = 11, user: str = "user_id") -> DataFrame:

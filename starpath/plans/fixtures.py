@@ -12,36 +12,55 @@ from starpath.functions.ratings import bucket_digit, season_of
 from starpath.operators.places import with_place
 from starpath.operators.toplists import top_items
 from starpath.schemas import CITIES, SEASONS
+from starpath.sources.tables import read_table
+
+LONG_TABLES = {"lineitem", "orders", "events", "documents"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return read_table(spark, f"{folder}/{name}.parquet", fill_cores=name in LONG_TABLES)
 
 
 def star(quantity: str) -> F.Column:
     return (1 + F.floor((F.col(quantity) - 1) / 10)).cast("double")
 
 
+def _order_lines(spark: SparkSession, folder: str, orders: DataFrame) -> DataFrame:
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", star("l_quantity").alias("rating"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def ratings(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as ratings: the customer rates the part; there is no row key."""
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", star("l_quantity").alias("rating"))
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     date = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", date.alias("rated_at"))
+    return _order_lines(spark, folder, orders).select(
         F.col("o_custkey").alias("user_id"),
         F.col("l_partkey").alias("item_id"),
         "rating",
-        date.alias("rated_at"),
-        bucket_digit(date).alias("bucket"),
+        "rated_at",
+        bucket_digit(F.col("rated_at")).alias("bucket"),
     )
 
 
+def _placed_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with their customer's nation, as narrow as they can be.
+
+    Orders meet customers before order lines, so that the lines, the longest table, are shuffled once.
+    Season and city are made from ``o_orderdate`` and ``c_nationkey`` after that.
+    """
+    customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", "o_custkey", "o_orderdate", "c_nationkey")
+
+
 def sliced_ratings(spark: SparkSession, folder: str) -> DataFrame:
     """Ratings with the season of the order and the state and city of the customer."""
-    places = with_place(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), "c_nationkey")
-    users = places.select(F.col("c_custkey").alias("user_id"), "state_index", "state", "city")
-    seasoned = ratings(spark, folder).withColumn("season", season_of(F.to_date("rated_at")))
-    return seasoned.join(users, "user_id")
+    lines = _order_lines(spark, folder, _placed_orders(spark, folder))
+    return with_place(lines, "c_nationkey").select(
+        F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), "rating",
+        season_of(F.col("o_orderdate")).alias("season"), "state_index", "state", "city")
 
 
 def stores(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,15 +105,12 @@ def line_requests(spark: SparkSession, folder: str) -> DataFrame:
 
     Line numbers run to 7, so some of these stars are out of range.
     """
-    lines = table(spark, folder, "lineitem")
-    orders = table(spark, folder, "orders")
-    customers = with_place(table(spark, folder, "customer"), "c_nationkey").select("c_custkey", "city")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        customers, F.col("o_custkey") == F.col("c_custkey"))
+    lines = table(spark, folder, "lineitem").join(
+        _placed_orders(spark, folder), F.col("l_orderkey") == F.col("o_orderkey"))
     pairs = F.concat(
         F.col("l_partkey").cast("string"), F.lit("="), star("l_quantity").cast("int").cast("string"), F.lit("&"),
         F.col("l_suppkey").cast("string"), F.lit("="), F.col("l_linenumber").cast("string"))
-    return joined.select(
+    return with_place(lines, "c_nationkey").select(
         (F.col("o_orderkey") + 1).alias("request_id"),
         request_url(season_of(F.col("o_orderdate")), F.col("city"), pairs).alias("url"))
 
