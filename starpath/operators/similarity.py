@@ -109,7 +109,7 @@ def _left_out_share(pairs: DataFrame, left_out: DataFrame, cells: DataFrame) ->
     first = lists.select(F.col("item_id").alias("item_a"), F.col("_out").alias("_out_a"))
     second = lists.select(F.col("item_id").alias("item_b"), F.col("_out").alias("_out_b"))
     none = F.array().cast("array<struct<user_id:bigint,weight:double>>")
-    both = pairs.join(first, "item_a", "left").join(second, "item_b", "left").select(
+    both = salted_join(salted_join(pairs, first, "item_a", "item_b", "left"), second, "item_b", "item_a", "left").select(
         "item_a", "item_b",
         F.coalesce("_out_a", none).alias("_out_a"), F.coalesce("_out_b", none).alias("_out_b"))
     # A user left out by both items is looked up once, from the first item's list.

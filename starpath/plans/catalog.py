@@ -14,7 +14,10 @@ from starpath.operators import (
     sums, toplists, words,
 )
 from starpath.plans import als, fixtures
+from starpath.plans.load import load_ratings, load_top_stores
 from starpath.session import cut_lineage, shared_folder
+from starpath.sources.lines import write_lines
+from starpath.sources.tables import read_table
 from starpath.streaming import requests as request_stream
 
 EMBEDDING_SIZE = 64
@@ -234,16 +237,44 @@ def als_grid(spark: SparkSession, folder: str) -> DataFrame:
     return als.grid_search(fixtures.ratings(spark, folder))
 
 
+def _run_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def toplist_load(spark: SparkSession, folder: str) -> DataFrame:
+    """The load job end to end: packed lines as text files, parsed into the store table, read back."""
+    run = _run_folder(spark, "toplist")
+    write_lines(toplists.pack_top_lines(fixtures.top_stores(spark, folder)), f"{run}/lines")
+    load_top_stores(spark, f"{run}/lines", f"{run}/stores")
+    return read_table(spark, f"{run}/stores")
+
+
+def ratings_load(spark: SparkSession, folder: str) -> DataFrame:
+    """Ratings as text files, loaded into the table by season and state, summed up per slice."""
+    run = _run_folder(spark, "ratings")
+    write_lines(rating_ops.rating_lines(fixtures.ratings(spark, folder)), f"{run}/lines")
+    load_ratings(spark, f"{run}/lines", fixtures.users(spark, folder), f"{run}/slices")
+    return read_table(spark, f"{run}/slices").groupBy("season", "state").agg(
+        F.count("*").alias("n_ratings"), F.sum("rating").alias("sum_rating"), F.sum("bucket").alias("sum_bucket"))
+
+
+def ratings_of_slice(spark: SparkSession, folder: str) -> DataFrame:
+    """The ratings of one season and state, the training input of one request."""
+    sliced = fixtures.sliced_ratings(spark, folder)
+    return sliced.filter((F.col("season") == "winter") & (F.col("state") == "NV")).select(
+        "user_id", "item_id", "rating")
+
+
 def stream_requests(spark: SparkSession, folder: str) -> DataFrame:
     """``url_params`` run as a file stream over the pages."""
-    run = f"{shared_folder(spark).rstrip('/')}/requests-{uuid.uuid4().hex}"
+    run = _run_folder(spark, "requests")
     # The stream source takes a folder or a pattern; the pattern fits the table as one file or as a folder.
     pages = request_stream.request_files(
         spark, f"{folder}/[p]ages.parquet", fixtures.table(spark, folder, "pages").schema)
     query = request_stream.write_batches(
         pages.select("page_id", "url"), requests.url_params, f"{run}/out", f"{run}/progress")
     query.awaitTermination()
-    return spark.read.parquet(f"{run}/out").drop("batch_id")
+    return read_table(spark, f"{run}/out").drop("batch_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -253,6 +284,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bucket_split, ratings_summary, ratings_by_slice, season_counts, training_union, unrated_candidates,
         factor_score, topn_per_user, topn_with_names, positional_pair, result_format, result_split, rmse_eval,
         baseline_rmse, wc_top_words, wc_prefix_top, range_sum, top_items_per_group, dense_ids, item_similarity,
-        als_recommend, als_grid, stream_requests,
+        als_recommend, als_grid, stream_requests, toplist_load, ratings_load, ratings_of_slice,
     )
 }

@@ -217,4 +217,12 @@ CHECKS: dict[str, str] = {
             FROM cosines)
         WHERE rank <= 10""",
     "stream_requests": _URL_PARAMS,
+    "toplist_load": f"""{_TOP_LISTS}
+        SELECT city, season, CAST(item_id AS VARCHAR) AS store_id, name AS store_name, rank FROM named""",
+    "ratings_load": f"""WITH {_PLACES}, {_RATINGS}, {_SLICED}
+        SELECT season, state, count(*) AS n_ratings, sum(rating) AS sum_rating,
+               CAST(sum(bucket) AS BIGINT) AS sum_bucket
+        FROM sliced GROUP BY season, state""",
+    "ratings_of_slice": f"""WITH {_PLACES}, {_RATINGS}, {_SLICED}
+        SELECT user_id, item_id, rating FROM sliced WHERE season = 'winter' AND state = 'NV'""",
 }

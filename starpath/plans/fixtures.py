@@ -63,6 +63,12 @@ def sliced_ratings(spark: SparkSession, folder: str) -> DataFrame:
         season_of(F.col("o_orderdate")).alias("season"), "state_index", "state", "city")
 
 
+def users(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with the state of their nation."""
+    return with_place(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), "c_nationkey").select(
+        F.col("c_custkey").alias("user_id"), "state")
+
+
 def stores(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(
         F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("address"))

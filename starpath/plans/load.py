@@ -1,14 +1,17 @@
-"""Load packed top-store lines into the store table."""
+"""Load text lines into tables: packed top-store lines, and ratings."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from starpath.operators.rejects import rejected
+from starpath.functions.ratings import season_of
+from starpath.operators.ratings import parse_ratings, with_timestamp
+from starpath.operators.rejects import accepted, rejected
 from starpath.operators.toplists import as_store_table, parse_top_lines
 from starpath.sources.jdbc import write_jdbc
 from starpath.sources.lines import read_lines
-from starpath.sources.tables import write_table
+from starpath.sources.tables import write_slices, write_table
 
 
 def load_top_stores(spark: SparkSession, source: str, target: str, rejects: str | None = None,
@@ -25,3 +28,22 @@ def load_top_stores(spark: SparkSession, source: str, target: str, rejects: str
     if rejects is not None:
         write_table(rejected(parsed), rejects)
     return stores
+
+
+def load_ratings(spark: SparkSession, source: str, users: DataFrame, target: str, rejects: str | None = None) -> None:
+    """``user::item::rating::date`` lines to a table laid out by season and state.
+
+    ``users`` gives each ``user_id`` its ``state``; ratings of other users and ratings whose date
+    cannot be read go to ``rejects`` with the lines that are no ratings.
+    """
+    parsed = with_timestamp(parse_ratings(read_lines(spark, source))).withColumn("season", season_of(F.col("rated_ts")))
+    dated = parsed.withColumn("reject_reason", F.coalesce(
+        "reject_reason", F.when(F.col("season").isNull(), F.lit("bad_date"))))
+    # Lines without a user id stay out of the join, where they would all share the null key.
+    placed = accepted(dated).join(users.select("user_id", "state"), "user_id", "left").withColumn(
+        "reject_reason", F.when(F.col("state").isNull(), F.lit("unknown_user")))
+    columns = ["user_id", "item_id", "rating", "rated_at", "bucket", "season", "state"]
+    write_slices(accepted(placed).select(*columns), target)
+    if rejects is not None:
+        kept = ["value", "reject_reason"]
+        write_table(rejected(dated).select(*kept).unionByName(rejected(placed).select(*kept)), rejects)

@@ -11,6 +11,8 @@ from starpath.functions import numbers, text
 from starpath.functions.ratings import season_of
 from starpath.operators import ratings as ops
 from starpath.operators.rejects import accepted, rejected
+from starpath.plans.load import load_ratings
+from starpath.sources.lines import write_lines
 
 LINES = [
     "1::10::4.5::1479945678",
@@ -99,3 +101,14 @@ def test_dot_has_two_equal_forms(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0], [4.0, 5.0, 6.0])], "a array<float>, b array<float>")
     row = df.select(numbers.dot(F.col("a"), F.col("b")), numbers.dot(F.col("a"), F.col("b"), 3)).first()
     assert tuple(row) == (32.0, 32.0)
+
+
+def test_load_lays_ratings_out_by_slice(spark, tmp_path):
+    write_lines(lines_of(spark, LINES + ["9::10::1::2016-07-01", "2::11::3::2016-99-99"]), str(tmp_path / "in"))
+    users = spark.createDataFrame([(1, "NV"), (2, "QC")], "user_id bigint, state string")
+    load_ratings(spark, str(tmp_path / "in"), users, str(tmp_path / "out"), str(tmp_path / "bad"))
+    loaded = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r.season, r.state, r.n) for r in loaded.groupBy("season", "state").agg(F.count("*").alias("n")).collect()} == {
+        ("autumn", "NV", 2), ("autumn", "QC", 1)}
+    reasons = sorted(row.reject_reason for row in spark.read.parquet(str(tmp_path / "bad")).collect())
+    assert reasons == sorted(["bad_date"] * 2 + ["missing_field", "bad_id", "bad_rating", "bad_rating", "unknown_user"])
