@@ -14,7 +14,8 @@ def salted_join(facts: DataFrame, lookup: DataFrame, key: str, spread_by: str, h
     hot keys and their list is broadcast. A hot key's facts go to as many salts as it holds parts, and
     its lookup row is repeated once per salt: fewer than ``2 * parts`` extra rows in all. Adaptive
     execution does not cover this case by itself where the lookup is an aggregate on the same key,
-    because no exchange then stands right below the join.
+    because no exchange then stands right below the join. Facts are read twice, once to count, so
+    hand in a table or a frame with its lineage cut.
     """
     counts = facts.groupBy(key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total")).scalar()

@@ -34,7 +34,7 @@ def toplist_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 def toplist_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Two generations of lines, fifty and ten stores long; the later one wins where both have the group."""
-    top = fixtures.top_stores(spark, folder)
+    top = cut_lineage(fixtures.top_stores(spark, folder))
     older = toplists.pack_top_lines(top).withColumn("line_order", F.lit(1))
     newer = toplists.pack_top_lines(top.filter(F.col("season") != "winter"), 10).withColumn("line_order", F.lit(2))
     return toplists.lookup_top_lines(older.unionByName(newer))
@@ -182,9 +182,10 @@ def result_split(spark: SparkSession, folder: str) -> DataFrame:
 def rmse_eval(spark: SparkSession, folder: str) -> DataFrame:
     """Error of the item-mean model, trained on the train split, on the test split."""
     split = rating_ops.with_split(fixtures.ratings(spark, folder))
-    test = split.filter(F.col("split") == "test").select("user_id", "item_id", "rating")
+    test = cut_lineage(split.filter(F.col("split") == "test").select("user_id", "item_id", "rating"))
     means = evaluation.item_means(split.filter(F.col("split") == "train"))
-    predictions = skew.salted_join(test.select("user_id", "item_id").distinct(), means, "item_id", "user_id")
+    pairs = cut_lineage(test.select("user_id", "item_id").distinct())
+    predictions = skew.salted_join(pairs, means, "item_id", "user_id")
     error = evaluation.rmse(evaluation.attach_predictions(test, predictions))
     return error.select("n_scored", "n_all", F.round("rmse_scored", 6).alias("rmse_scored"),
                         F.round("rmse_all", 6).alias("rmse_all"))
