@@ -134,8 +134,8 @@ def unrated_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Every store each slice request has not rated."""
     asked = cut_lineage(rejects.accepted(requests.request_ratings(fixtures.slice_requests(spark, folder))))
     users = [-request_id for request_id in fixtures.request_ids()]
-    pairs = candidates.unrated(fixtures.stores(spark, folder), asked, users)
-    return pairs.join(asked.select("user_id").distinct(), "user_id", "left_semi")
+    pairs = candidates.unrated(fixtures.stores(spark, folder).select("item_id"), asked, users)
+    return pairs.join(asked.select("user_id").distinct(), "user_id", "left_semi").select("user_id", "item_id")
 
 
 def factor_score(spark: SparkSession, folder: str) -> DataFrame:
