@@ -186,7 +186,7 @@ def rmse_eval(spark: SparkSession, folder: str) -> DataFrame:
     means = evaluation.item_means(split.filter(F.col("split") == "train"))
     pairs = cut_lineage(test.select("user_id", "item_id").distinct())
     predictions = skew.salted_join(pairs, means, "item_id", "user_id")
-    error = evaluation.rmse(evaluation.attach_predictions(test, predictions))
+    error = evaluation.joined_rmse(test, predictions)
     return error.select("n_scored", "n_all", F.round("rmse_scored", 6).alias("rmse_scored"),
                         F.round("rmse_all", 6).alias("rmse_all"))
 
