@@ -10,8 +10,8 @@ left out: of their common users take the least active; at least ``min_support -
 before it in both items. So
 
 1. the ratings left in find every pair that can qualify, without the busiest users,
-2. the few ratings left out (at most ``min_support - 1`` per item) are then looked up for the pairs
-   found, by (user, item), which adds their share to the sums.
+2. the few ratings left out (at most ``min_support - 1`` per item) are then added for the pairs found:
+   from the two items' lists where both left the user out, else by a lookup of (user, item).
 
 Users left in after that are cut into blocks of ``heavy`` ratings, so no task sees more than one
 block against another, and equal pairs are summed before they are shuffled.
@@ -80,10 +80,7 @@ def _with_heavy_users(cells: DataFrame, activity: DataFrame, min_support: int, h
         .select("user_id", "item_id", "weight")
     )
     left_in = ranked.join(left_out.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    found = cut_lineage(_common(left_in))
-    late = _left_out_share(found.select("item_a", "item_b"), left_out, cells)
-    return found.unionByName(late).groupBy("item_a", "item_b").agg(
-        F.sum("dot").alias("dot"), F.sum("support").alias("support"))
+    return _with_left_out(cut_lineage(_common(left_in)), left_out, cells, min_support)
 
 
 def _common(cells: DataFrame) -> DataFrame:
@@ -102,26 +99,43 @@ def _common(cells: DataFrame) -> DataFrame:
         F.sum(F.col("_weight_a") * F.col("_weight_b")).alias("dot"), F.count("*").alias("support"))
 
 
-def _left_out_share(pairs: DataFrame, left_out: DataFrame, cells: DataFrame) -> DataFrame:
-    """Sums over users that one or both items of a pair left out."""
+def _with_left_out(found: DataFrame, left_out: DataFrame, cells: DataFrame, min_support: int) -> DataFrame:
+    """Adds the users that one or both items of a pair left out to the pair's sums.
+
+    A user left out by both items is settled between their two lists. Only for a user left out by
+    one item the other item's rating has to be looked up, and only where the pair can still qualify.
+    """
     # At most min_support - 1 entries per item.
-    lists = left_out.groupBy("item_id").agg(F.collect_list(F.struct("user_id", "weight")).alias("_out"))
+    lists = left_out.groupBy("item_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("user_id", "weight"))).alias("_out"))
     first = lists.select(F.col("item_id").alias("item_a"), F.col("_out").alias("_out_a"))
     second = lists.select(F.col("item_id").alias("item_b"), F.col("_out").alias("_out_b"))
-    none = F.array().cast("array<struct<user_id:bigint,weight:double>>")
-    both = salted_join(salted_join(pairs, first, "item_a", "item_b", "left"), second, "item_b", "item_a", "left").select(
-        "item_a", "item_b",
-        F.coalesce("_out_a", none).alias("_out_a"), F.coalesce("_out_b", none).alias("_out_b"))
-    # A user left out by both items is looked up once, from the first item's list.
-    of_first = F.col("_out_a.user_id")
-    asked_a = F.transform("_out_a", lambda e: F.struct(
-        e["user_id"].alias("user_id"), e["weight"].alias("weight"), F.col("item_b").alias("item_id")))
-    asked_b = F.transform(
-        F.filter("_out_b", lambda e: ~F.array_contains(of_first, e["user_id"])),
-        lambda e: F.struct(e["user_id"].alias("user_id"), e["weight"].alias("weight"),
-                           F.col("item_a").alias("item_id")))
-    asked = both.select("item_a", "item_b", F.explode(F.concat(asked_a, asked_b)).alias("_ask")).select(
-        "item_a", "item_b", F.col("_ask.user_id").alias("user_id"),
-        F.col("_ask.item_id").alias("item_id"), F.col("_ask.weight").alias("_other"))
-    return asked.join(cells, ["user_id", "item_id"]).groupBy("item_a", "item_b").agg(
-        F.sum(F.col("_other") * F.col("weight")).alias("dot"), F.count("*").alias("support"))
+    listed = salted_join(salted_join(found, first, "item_a", "item_b", "left"), second, "item_b", "item_a", "left")
+    none = F.create_map().cast("map<bigint,double>")
+    a, b = F.coalesce("_out_a", none), F.coalesce("_out_b", none)
+    users_a, users_b = F.map_keys(a), F.map_keys(b)
+    settled = listed.select(
+        "item_a", "item_b", "dot", "support", a.alias("_out_a"), b.alias("_out_b"),
+        F.array_intersect(users_a, users_b).alias("_both"),
+        F.array_except(users_a, users_b).alias("_only_a"),
+        F.array_except(users_b, users_a).alias("_only_b"),
+    ).filter(
+        F.col("support") + F.size("_both") + F.size("_only_a") + F.size("_only_b") >= min_support
+    ).select(
+        "item_a", "item_b", "_out_a", "_out_b", "_only_a", "_only_b",
+        F.aggregate("_both", F.col("dot"), lambda total, user: total
+                    + F.element_at("_out_a", user) * F.element_at("_out_b", user)).alias("dot"),
+        (F.col("support") + F.size("_both")).alias("support"),
+    )
+    settled = cut_lineage(settled)
+    asked = F.concat(
+        F.transform("_only_a", lambda user: F.struct(
+            user.alias("user_id"), F.element_at("_out_a", user).alias("other"), F.col("item_b").alias("item_id"))),
+        F.transform("_only_b", lambda user: F.struct(
+            user.alias("user_id"), F.element_at("_out_b", user).alias("other"), F.col("item_a").alias("item_id"))))
+    questions = settled.select("item_a", "item_b", F.explode(asked).alias("_ask")).select(
+        "item_a", "item_b", "_ask.user_id", "_ask.item_id", F.col("_ask.other").alias("_other"))
+    answers = questions.join(cells, ["user_id", "item_id"]).select(
+        "item_a", "item_b", (F.col("_other") * F.col("weight")).alias("dot"), F.lit(1).cast("bigint").alias("support"))
+    return settled.select("item_a", "item_b", "dot", "support").unionByName(answers).groupBy("item_a", "item_b").agg(
+        F.sum("dot").alias("dot"), F.sum("support").alias("support"))
