@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starpath.llm.exact_dedup import exact_dedup
+from starpath.llm.sharding import shard
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,8 +19,15 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(_documents(spark, folder)).drop("shuffled")
 
 
+def op10_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shard(_documents(spark, folder).select("doc_id", "text")).select(
+        "doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op10_histogram_shards": op10_histogram_shards,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
