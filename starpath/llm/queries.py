@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starpath.llm.exact_dedup import exact_dedup
+from starpath.llm.packing import pack
 from starpath.llm.sharding import shard
 
 
@@ -19,6 +20,11 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(_documents(spark, folder)).drop("shuffled")
 
 
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(_documents(spark, folder)).select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op10_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard(_documents(spark, folder).select("doc_id", "text")).select(
         "doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
@@ -27,6 +33,7 @@ def op10_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op10_histogram_shards": op10_histogram_shards,
 }
 

@@ -27,7 +27,7 @@ TOLERANCE = 0.0005
 #: Low key bits that come from the id.
 ID_BITS = 20
 #: Rows that one task numbers.
-PIECE_ROWS = 20_000
+PIECE_ROWS = 4_000
 
 
 def bytes_below(keyed: DataFrame, probes: np.ndarray) -> np.ndarray:
