@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from starpath.llm.exact_dedup import exact_dedup
 from starpath.llm.packing import pack
 from starpath.llm.sharding import shard
+from starpath.llm.token_files import token_files
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,6 +26,11 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files(_documents(spark, folder)).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard(_documents(spark, folder).select("doc_id", "text")).select(
         "doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
@@ -34,6 +40,7 @@ def op10_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op8_token_files": op8_token_files,
     "op10_histogram_shards": op10_histogram_shards,
 }
 
