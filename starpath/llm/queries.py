@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starpath.llm.exact_dedup import exact_dedup
+from starpath.llm.near_dedup import near_dedup
 from starpath.llm.packing import pack
 from starpath.llm.sharding import shard
 from starpath.llm.token_files import token_files
@@ -26,6 +27,10 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup(_documents(spark, folder))
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(_documents(spark, folder)).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -40,6 +45,7 @@ def op10_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op8_token_files": op8_token_files,
     "op10_histogram_shards": op10_histogram_shards,
 }
