@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starpath.llm.exact_dedup import exact_dedup
+from starpath.llm.line_dedup import line_dedup
 from starpath.llm.near_dedup import near_dedup
 from starpath.llm.packing import pack
 from starpath.llm.sharding import shard
@@ -36,6 +37,10 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_template_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup(_documents(spark, folder)).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op10_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard(_documents(spark, folder).select("doc_id", "text")).select(
         "doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op8_token_files": op8_token_files,
+    "op9_template_line_dedup": op9_template_line_dedup,
     "op10_histogram_shards": op10_histogram_shards,
 }
 
