@@ -58,27 +58,29 @@ def hot_join(facts: DataFrame, groups: DataFrame, key: str, size: str, spread_by
     return met.select(*facts.columns, *(found[c].alias(c) for c in values))
 
 
-def bitmap(keys: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
-    """Bits set at ``bit_of(column)`` for each key: ``bits / 8`` bytes however many keys there are.
+#: Bits of a bitmap: 2 MB, whatever it is made from.
+BITS = 1 << 24
 
-    More keys only make it less selective; whoever uses it joins exactly afterwards.
+
+def bit_of(column: str | Column) -> Column:
+    """The place of a key in a bitmap."""
+    return F.pmod(F.xxhash64(column), F.lit(BITS))
+
+
+def bitmap(keys: DataFrame, place: Column) -> np.ndarray:
+    """``BITS`` bits as 64-bit words, set at each key's ``place`` (0 to ``BITS - 1``).
+
+    Its size is fixed; more keys only make it less selective. Whoever uses it joins exactly afterwards.
     """
-    place = bit_of(column, bits)
     words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
+    out = np.zeros(BITS // 64, np.int64)
     out[words["w"].to_numpy()] = words["b"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool) if bits <= 1 << 20 else out
-
-
-def bit_of(column: str | Column, bits: int = 1 << 24) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(bits))
+    return out
 
 
 def has_bit(words: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Which places are set in what ``bitmap`` gave."""
-    if words.dtype == bool:
-        return words[places]
+    """Which places are set."""
     return (words[places >> 6] >> (places & 63)) & 1 == 1
 
 

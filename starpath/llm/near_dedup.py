@@ -81,7 +81,7 @@ def posting_lists(nodes: DataFrame, matches: int, block: int) -> DataFrame:
     """``token, n, parts, nodes, tokens, counts``: one row per block, or pair of blocks, of a posting list."""
     repeated = written(repeated_tokens(nodes), "repeated-tokens")
     total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    known = bitmap(repeated, "token")
+    known = bitmap(repeated, bit_of("token"))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +154,7 @@ def candidates(lists: DataFrame, matches: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text: str, words: int) -> DataFrame:
     """``node, shingles``: the whole sets of the wanted nodes (``node, id`` of one text each), read again."""
-    known = bitmap(wanted, "id")
+    known = bitmap(wanted, bit_of("id"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starpath.llm.decontamination import overlaps
 from starpath.llm.exact_dedup import exact_dedup
 from starpath.llm.line_dedup import line_dedup
 from starpath.llm.near_dedup import near_dedup
@@ -32,6 +33,11 @@ def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup(_documents(spark, folder))
 
 
+def op6_spaced_seed_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    tests = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return overlaps(_documents(spark, folder), tests).drop("text_hash")
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(_documents(spark, folder)).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op6_spaced_seed_decontamination": op6_spaced_seed_decontamination,
     "op8_token_files": op8_token_files,
     "op9_template_line_dedup": op9_template_line_dedup,
     "op10_histogram_shards": op10_histogram_shards,
