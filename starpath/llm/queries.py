@@ -14,6 +14,7 @@ from starpath.llm.near_dedup import near_dedup
 from starpath.llm.packing import pack
 from starpath.llm.sharding import shard
 from starpath.llm.token_files import token_files
+from starpath.llm.toxicity import toxicity
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,10 +54,15 @@ def op10_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_spaced_seed_decontamination": op6_spaced_seed_decontamination,
     "op8_token_files": op8_token_files,
     "op9_template_line_dedup": op9_template_line_dedup,
