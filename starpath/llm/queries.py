@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from starpath.llm.decontamination import overlaps
 from starpath.llm.exact_dedup import exact_dedup
+from starpath.llm.language_id import language_id
 from starpath.llm.line_dedup import line_dedup
 from starpath.llm.near_dedup import near_dedup
 from starpath.llm.packing import pack
@@ -39,6 +40,10 @@ def op6_spaced_seed_decontamination(spark: SparkSession, folder: str) -> DataFra
     return overlaps(_documents(spark, folder), tests).drop("text_hash")
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id(_documents(spark, folder))
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(_documents(spark, folder)).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_spaced_seed_decontamination": op6_spaced_seed_decontamination,
+    "op7_language_id": op7_language_id,
     "op8_token_files": op8_token_files,
     "op9_template_line_dedup": op9_template_line_dedup,
     "op10_histogram_shards": op10_histogram_shards,
