@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from starpath.llm.decontamination import overlaps
 from starpath.llm.exact_dedup import exact_dedup
 from starpath.llm.language_id import language_id
+from starpath.llm.language_model import language_model_scores
 from starpath.llm.line_dedup import line_dedup
 from starpath.llm.near_dedup import near_dedup
 from starpath.llm.packing import pack
@@ -59,6 +60,10 @@ def op10_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_context_mixing_score(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model_scores(_documents(spark, folder))
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_context_mixing_score": op4_context_mixing_score,
     "op5_toxicity": op5_toxicity,
     "op6_spaced_seed_decontamination": op6_spaced_seed_decontamination,
     "op7_language_id": op7_language_id,
