@@ -33,7 +33,7 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dedup(_documents(spark, folder))
+    return near_dedup(_documents(spark, folder)).drop("text_hash")
 
 
 def op6_spaced_seed_decontamination(spark: SparkSession, folder: str) -> DataFrame:

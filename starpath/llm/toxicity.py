@@ -160,7 +160,7 @@ class ToxicityModel:
         self.weights, self.cost, self.logistic = weights, cost, logistic
 
     def evidence(self, docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
-        """``columns, strongest, total, number``."""
+        """``columns`` and the three measures of evidence."""
         weights, cost = self.weights, self.cost
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,15 +175,15 @@ class ToxicityModel:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
         return rows.mapInArrow(score, ", ".join([schema, *(f"{m} double" for m in _MEASURES)]))
 
-    def score(self, docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
-        """``columns`` of each row and its ``score``, 0 to 1."""
+    def score(self, docs: DataFrame, columns: list[str], text: str = "text", name: str = "score") -> DataFrame:
+        """``columns`` of each row and its score, 0 to 1, as ``name``."""
         *weights, bias = (float(w) for w in self.logistic)
         logit = sum((F.col(m) * w for m, w in zip(_MEASURES, weights)), F.lit(bias))
-        return self.evidence(docs, columns, text).select(*columns, (1 / (1 + F.exp(-logit))).alias("score"))
+        return self.evidence(docs, columns, text).select(*columns, (1 / (1 + F.exp(-logit))).alias(name))
 
 
 _CELLS = ("n00", "n01", "n10", "n11")
-_MEASURES = ("strongest", "total", "number")
+_MEASURES = ("_strongest", "_total", "_number")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAMPLE) -> ToxicityModel:
