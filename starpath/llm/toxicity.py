@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,11 @@ from starpath.llm.deobfuscation import Restorer, costs, trigram_counts
 SAMPLE = 16_000
 #: Features kept, at most; the strongest ones.
 FEATURES = 20_000
+#: Parts of the sample for fitting the logistic regression.
+FOLDS = 4
 PREFIXES = (4, 5, 6, 7, 8)
 #: Least lowered log odds of a kept feature.
-LEAST_ODDS = 1.0
+LEAST_ODDS = 2.5
 #: Tokens a worker remembers the evidence of; the memory bound.
 REMEMBERED = 500_000
 PREDICTED_AT = 0.7
@@ -94,43 +97,47 @@ class Scorer:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """``_id, label, half``: at most ``bound`` labelled documents outside the held-out part, by hash of the id."""
+    """``_id, label, fold``: at most ``bound`` labelled documents outside the held-out part, by hash of the id."""
     usable = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(
         F.max(label).alias("label"))
     return usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select(
-        F.col("doc_id").alias("_id"), "label", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(2)).alias("half"))
+        F.col("doc_id").alias("_id"), "label", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(FOLDS)).alias("fold"))
 
 
 def feature_counts(sample: DataFrame, cost: np.ndarray) -> DataFrame:
-    """``feature, n00, n01, n10, n11``: documents with the feature by half and label; the empty feature has all."""
+    """``feature`` and documents with it by fold and label (``_CELLS``); the empty feature has all documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(cost)
 
         def rows(counts: dict[str, list[int]]) -> pa.RecordBatch:
-            columns = np.array(list(counts.values()), np.int64).reshape(-1, 4)
+            columns = np.array(list(counts.values()), np.int64).reshape(-1, len(_CELLS))
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), *(pa.array(columns[:, k]) for k in range(4))], names=["feature", *_CELLS])
+                [pa.array(list(counts), pa.string()), *(pa.array(columns[:, k]) for k in range(len(_CELLS)))], names=["feature", *_CELLS])
 
         counts: dict[str, list[int]] = {}
         for batch in batches:
-            for value, label, half in zip(*(c.to_pylist() for c in batch.columns)):
-                cell = 2 * half + label
+            for value, label, fold in zip(*(c.to_pylist() for c in batch.columns)):
+                cell = 2 * fold + label
                 for feature in {"", *(f for w in set(restored_words(value, restorer)) for f in features_of(w))}:
-                    counts.setdefault(feature, [0, 0, 0, 0])[cell] += 1
+                    counts.setdefault(feature, [0] * len(_CELLS))[cell] += 1
                 if len(counts) > 300_000:
                     yield rows(counts)
                     counts = {}
         yield rows(counts)
 
-    sums = sample.select("text", F.col("label").cast("int"), F.col("half").cast("int")).mapInArrow(
+    sums = sample.select("text", F.col("label").cast("int"), F.col("fold").cast("int")).mapInArrow(
         count, "feature string, " + ", ".join(f"{c} long" for c in _CELLS)).groupBy("feature").agg(
         *(F.sum(c).alias(c) for c in _CELLS))
-    return written(sums.filter("n01 + n11 > 1 or feature = ''"), "feature-counts")
+    return written(sums.filter((_toxic(range(FOLDS)) > 1) | (F.col("feature") == "")), "feature-counts")
 
 
-def feature_weights(counts: DataFrame, halves: tuple[int, ...]) -> dict[str, float]:
-    """Lowered log odds of the telling features, from these halves of the sample."""
-    clean, toxic = (sum((F.col(f"n{half}{label}") for half in halves), F.lit(0)) for label in (0, 1))
+def _toxic(folds: Iterable[int], label: int = 1) -> Column:
+    return sum((F.col(f"n{fold}{label}") for fold in folds), F.lit(0))
+
+
+def feature_weights(counts: DataFrame, folds: list[int]) -> dict[str, float]:
+    """Lowered log odds of the telling features, from these folds of the sample."""
+    clean, toxic = _toxic(folds, 0), _toxic(folds)
     tallied = counts.select("feature", clean.alias("clean"), toxic.alias("toxic"))
     whole = tallied.filter("feature = ''").first()
     if whole is None or not whole.toxic or not whole.clean:
@@ -182,7 +189,7 @@ class ToxicityModel:
         return self.evidence(docs, columns, text).select(*columns, (1 / (1 + F.exp(-logit))).alias(name))
 
 
-_CELLS = ("n00", "n01", "n10", "n11")
+_CELLS = tuple(f"n{fold}{label}" for fold in range(FOLDS) for label in (0, 1))
 _MEASURES = ("_strongest", "_total", "_number")
 
 
@@ -191,15 +198,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound
     cost = costs(trigram_counts(docs))
     picked = F.broadcast(_sample(docs, labels, label, bound))
     sample = written(docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_id")).select(
-        "doc_id", "text", "label", "half"), "labelled-sample")
+        "doc_id", "text", "label", "fold"), "labelled-sample")
     counts = feature_counts(sample, cost)
-    folds = [ToxicityModel(feature_weights(counts, (1 - half,)), cost, np.zeros(4)).evidence(
-        sample.filter(F.col("half") == half), ["label"]) for half in (0, 1)]
-    rows = folds[0].union(folds[1]).toArrow()
+    others = [[other for other in range(FOLDS) if other != fold] for fold in range(FOLDS)]
+    judged = [ToxicityModel(feature_weights(counts, others[fold]), cost, np.zeros(4)).evidence(
+        sample.filter(F.col("fold") == fold), ["label"]) for fold in range(FOLDS)]
+    rows = reduce(DataFrame.union, judged).toArrow()
     y = rows["label"].to_numpy().astype(float)
     x = np.stack([rows[m].to_numpy() for m in _MEASURES], 1)
     logistic = fit_logistic(x, y) if len(y) else np.array([1.0, 0, 0, -3.0])
-    return ToxicityModel(feature_weights(counts, (0, 1)), cost, logistic)
+    return ToxicityModel(feature_weights(counts, list(range(FOLDS))), cost, logistic)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAMPLE) -> DataFrame:
