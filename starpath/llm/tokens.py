@@ -16,7 +16,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Words a worker remembers; the memory bound. Further words are encoded each time they come up.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 _WORD = re.compile(f"([{_LETTERS}]+)([.,;:!?|#$%&*]*)")
@@ -94,9 +94,9 @@ class Coder:
         cut: list[list[list[str]] | None] = []
         for text in texts:
             lines = [line.split(" ") for line in text.split("\n")]
-            words = text.split()
-            whole = sum(map(len, lines)) == len(words) and "<|" not in text
-            cut.append(lines if whole and text else None)
+            # each piece is one word: none is empty, and there are as many as white space of any kind makes
+            single = all(map(all, lines)) and sum(map(len, lines)) == len(text.split())
+            cut.append(lines if single and "<|" not in text else None)
         self._learn_of([line[1:] for lines in cut if lines for line in lines], self.inner, " ")
         self._learn_of([line[:1] for lines in cut if lines for line in lines], self.first, "")
         inner, first = self.inner.__getitem__, self.first.__getitem__
