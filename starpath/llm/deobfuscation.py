@@ -89,7 +89,7 @@ class Restorer:
         if char in _MASKS:
             out += [(x, MASK) for x in _LETTERS]
         if char in _GAPS or char in _MASKS:
-            out.append(("", GAP))
+            out.append(("", GAP if char in _GAPS else 3 * MASK))
         if char.isalpha():
             out.append((char, 0.0))
             if at and raw[at - 1] == char:
@@ -123,7 +123,7 @@ class Restorer:
         core = token.strip(_EDGES)
         if core.isalpha() and not _TRIPLE.search(core):
             return [core] if token[0] not in "$@" else sorted({core, *self.decode(token[0] + core)})
-        whole = token.strip(".,;:\"'()[]{}<>")
+        whole = token.strip(".,;:\"'()[]{}<>").rstrip("!?")
         if not _SUSPECT.search(whole):
             return [core] if core else []
         if core.isalpha() and core != whole:

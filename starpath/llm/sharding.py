@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,16 +85,22 @@ def shard(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shards
     size = F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long") + 1
     low = (1 << ID_BITS) - 1
     key = F.xxhash64(text).bitwiseAND(F.lit(~low)).bitwiseOR(F.xxhash64(F.lit(1), F.col(id_column)).bitwiseAND(F.lit(low)))
-    keyed = rows.withColumn("size", size).withColumn("key", key)
-    narrow = written(keyed.select("key", "size"), "shard-keys")
+    keyed = rows.withColumn("size", size).withColumn("_key", key)
+    narrow = written(keyed.select(F.col("_key").alias("key"), "size"), "shard-keys")
     cuts = splitters(narrow, shards, PROBES, tolerance)
-    of_shard = sum((F.when(F.col("key") >= cut, 1).otherwise(0) for cut in cuts), F.lit(0)).cast("int")
     pieces = max(1, -(-narrow.count() // (shards * PIECE_ROWS)))
-    piece = F.pmod(F.xxhash64("key"), F.lit(pieces)).cast("int")
-    sizes = narrow.groupBy(of_shard.alias("shard"), piece.alias("piece")).agg(F.count("*").alias("rows"))
-    before = W.partitionBy("shard").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("shard", "piece", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    within = W.partitionBy("shard", "piece").orderBy("key", id_column)
-    placed = keyed.withColumn("shard", of_shard).withColumn("piece", piece).withColumn(
-        "slot", F.row_number().over(within) - 1).join(starts, ["shard", "piece"])
-    return placed.select(*rows.columns, "size", "shard", (F.col("slot") + F.col("start")).alias("slot"))
+
+    def place(of: str) -> tuple[Column, Column]:
+        """Shard and piece of a key; pieces deal a shard's rows to tasks."""
+        past = sum((F.when(F.col(of) >= cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+        return past.cast("int"), F.pmod(F.xxhash64(of), F.lit(pieces)).cast("int")
+
+    shard_of, piece_of = place("key")
+    sizes = narrow.groupBy(shard_of.alias("_shard"), piece_of.alias("_piece")).agg(F.count("*").alias("rows"))
+    before = W.partitionBy("_shard").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_shard", "_piece", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_start"))
+    within = W.partitionBy("_shard", "_piece").orderBy("_key", id_column)
+    shard_of, piece_of = place("_key")
+    placed = keyed.withColumn("_shard", shard_of).withColumn("_piece", piece_of).withColumn(
+        "_slot", F.row_number().over(within) - 1).join(starts, ["_shard", "_piece"])
+    return placed.select(*rows.columns, "size", F.col("_shard").alias("shard"), (F.col("_slot") + F.col("_start")).alias("slot"))

@@ -25,7 +25,8 @@ def documents(spark, texts, extra: bool = False):
         rows.append((key, text, "en", "s", len(text or "")))
     frame = spark.createDataFrame(rows, SCHEMA)
     if extra:
-        for name in ("size", "shard", "slot", "score", "id", "text_hash", "kept", "place", "word", "line", "bucket"):
+        for name in ("size", "shard", "slot", "score", "id", "text_hash", "kept", "place", "word", "line", "bucket", "key", "piece", "start", "dropped",
+                     "node", "total"):
             frame = frame.selectExpr("*", f"'x' AS {name}")
     return frame
 
