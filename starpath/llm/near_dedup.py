@@ -9,7 +9,7 @@
    a candidate in one list only, that of its first common value. Long lists are dealt into blocks, and
    pairs of blocks are separate work, so no task gets a whole hot list.
 4. The sets of candidates are fetched once, and each block of a list counts exact overlaps, leaving out
-   pairs that it has already joined. Only a spanning forest of confirmed links leaves a block.
+   pairs that it has already joined. What leaves a block is a star for each group that its links join.
 5. Links are closed to components by passing on the smallest label and jumping along labels.
 
 Two texts at the threshold collide in 0.75 of the coordinates on average; fewer than ``MATCHES`` of
@@ -54,7 +54,7 @@ def node_of(shingles: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, id_column: str, text: str, words: int) -> DataFrame:
-    """``id, n_shingles, node, tokens``; texts without words have neither node nor tokens."""
+    """``id, text_hash, n_shingles, node, tokens``; texts without words have neither node nor tokens."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, nodes, tokens = [], [], []
@@ -64,12 +64,12 @@ def signatures(docs: DataFrame, id_column: str, text: str, words: int) -> DataFr
                 nodes.append(node_of(found) if len(found) else None)
                 tokens.append(signature(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
-                 pa.array(tokens, pa.list_(pa.int64()))], names=["id", "n_shingles", "node", "tokens"])
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
+                 pa.array(tokens, pa.list_(pa.int64()))], names=["id", "text_hash", "n_shingles", "node", "tokens"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), text_column(text)).mapInArrow(
-        sign, f"id {kind}, n_shingles long, node binary, tokens array<long>")
+    return docs.select(F.col(id_column).alias("id"), text_column(text), F.xxhash64(text_column(text))).mapInArrow(
+        sign, f"id {kind}, text_hash long, n_shingles long, node binary, tokens array<long>")
 
 
 def repeated_tokens(nodes: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text: str, wor
 
 
 def links(members: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: confirmed links that span what is linked within each block."""
+    """``a, b``: for what confirmed links join within each block, its least node and each other one."""
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[bytes, bytes]] = []
@@ -199,7 +199,13 @@ def links(members: DataFrame, percent: int) -> DataFrame:
                         common = int((own[at] == other).sum())
                         if 100 * common >= percent * (len(own) + len(other) - common):
                             root[b] = a
-                            out.append((nodes[x], nodes[y]))
+                joined: dict[int, list[bytes]] = {}
+                for place, node in nodes.items():
+                    joined.setdefault(top(place), []).append(node)
+                # a star around the least node, so that lists which join the same nodes send the same rows
+                for star in joined.values():
+                    least = min(star)
+                    out += [(least, node) for node in star if node != least]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["a", "b"])
 
@@ -228,7 +234,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = SHINGLE,
                matches: int = MATCHES, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``: one row per row of ``docs``.
+    """``doc_id, text_hash, n_shingles, component_id, kept``: one row per row of ``docs``.
 
     Words are cut at ASCII white space after lower-casing A-Z; a text with fewer than ``words`` words is
     one shingle. Texts without words, and null texts, link to nothing and stay. ``component_id`` is the
@@ -248,9 +254,17 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", w
     classes = written(nodes.join(labels, "node", "left").select(
         "node", "copies", F.coalesce("label.least", "least").alias("component_id")), "classes")
     total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    with_node = signed.filter("node is not null").select("id", "n_shingles", "node")
-    linked = hot_join(with_node, classes, "node", "copies", F.col("id"), total).select("id", "n_shingles", "component_id")
-    alone = signed.filter("node is null").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return linked.union(alone).select(
-        F.col("id").alias(id_column), "n_shingles", "component_id",
+    own = ["id", "text_hash", "n_shingles"]
+    linked = hot_join(signed.filter("node is not null").select(*own, "node"), classes, "node", "copies", F.col("id"), total)
+    alone = signed.filter("node is null").select(*own, F.col("id").alias("component_id"))
+    return linked.select(*own, "component_id").union(alone).select(
+        F.col("id").alias(id_column), "text_hash", "n_shingles", "component_id",
         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that ``near_dedup`` keeps, unchanged."""
+    kept = near_dedup(docs, id_column, text, **options).filter("kept").select(
+        F.col(id_column).alias("_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    return docs.withColumn("_hash", F.xxhash64(text_column(text))).join(
+        kept, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi").drop("_hash")
