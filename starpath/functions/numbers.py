@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,16 +12,15 @@ def whole_number(text: Column) -> Column:
 
 
 def decimal_number(text: Column) -> Column:
-    """Text as a double, null where it is none; Java's type suffixes (``1.5d``) do not count as numbers."""
-    return F.when(~text.rlike(r"[dDfF]\s*$"), text.try_cast("double"))
+    """Text as a finite double, null where it is none; Java's suffixes (``1.5d``), NaN and Infinity are no numbers."""
+    return F.when(~text.rlike(r"(?i)[df]\s*$|nan|inf"), text.try_cast("double"))
 
 
-def dot(left: Column, right: Column, size: int | None = None) -> Column:
-    """Inner product of two arrays; with ``size`` it unrolls into plain arithmetic inside generated code."""
-    if size is not None:
-        return reduce(add, [left[i].cast("double") * right[i].cast("double") for i in range(size)])
+def dot(left: Column, right: Column) -> Column:
+    """Inner product of two whole arrays; null where their lengths differ."""
     products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, product: total + product)
+    total = F.aggregate(products, F.lit(0.0), lambda total, product: total + product)
+    return F.when(F.size(left) == F.size(right), total)
 
 
 def squared_error(predicted: Column, actual: Column) -> Column:
@@ -32,4 +28,4 @@ def squared_error(predicted: Column, actual: Column) -> Column:
 
 
 def percent_improvement(baseline: Column, value: Column) -> Column:
-    return (baseline - value) / baseline * F.lit(100.0)
+    return F.try_divide(baseline - value, baseline) * F.lit(100.0)

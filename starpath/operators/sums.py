@@ -1,15 +1,17 @@
-"""Sum of a number range."""
+"""Sums that don't overflow."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS_PER_TASK = 1000
 
+def column_sum(df: DataFrame, column: str) -> DataFrame:
+    """``total`` of a whole-number column as a 38-digit decimal; 0 without rows."""
+    total = F.sum(F.col(column).cast("decimal(20,0)")).cast("decimal(38,0)")
+    return df.agg(F.coalesce(total, F.lit(0).cast("decimal(38,0)")).alias("total"))
 
-def range_sum(spark: SparkSession, n: int, max_partitions: int | None = None) -> DataFrame:
-    """Sum of 0..n-1, one task per thousand numbers up to a few tasks per core."""
-    limit = max_partitions or 4 * spark.sparkContext.defaultParallelism
-    numbers = spark.range(0, n, 1, min(1 + n // ROWS_PER_TASK, limit))
-    return numbers.agg(F.coalesce(F.sum("id"), F.lit(0)).alias("total"))
+
+def range_sum(spark: SparkSession, n: int) -> DataFrame:
+    """Sum of 0..n-1."""
+    return column_sum(spark.range(n), "id")

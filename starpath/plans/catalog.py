@@ -20,8 +20,6 @@ from starpath.sources.lines import write_lines
 from starpath.sources.tables import read_table
 from starpath.streaming import requests as request_stream
 
-EMBEDDING_SIZE = 64
-
 
 def toplist_pack(spark: SparkSession, folder: str) -> DataFrame:
     return toplists.pack_top_lines(fixtures.top_stores(spark, folder))
@@ -133,16 +131,14 @@ def training_union(spark: SparkSession, folder: str) -> DataFrame:
 def unrated_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Every store each slice request has not rated."""
     asked = cut_lineage(rejects.accepted(requests.request_ratings(fixtures.slice_requests(spark, folder))))
-    users = [-request_id for request_id in fixtures.request_ids()]
-    pairs = candidates.unrated(fixtures.stores(spark, folder).select("item_id"), asked, users)
-    return pairs.join(asked.select("user_id").distinct(), "user_id", "left_semi").select("user_id", "item_id")
+    return candidates.unrated(fixtures.stores(spark, folder), asked, asked).select("user_id", "item_id")
 
 
 def factor_score(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of all rated (user, item) pairs whose ids both have a factor row."""
     pairs = fixtures.ratings(spark, folder).select("user_id", "item_id").distinct()
     vectors = fixtures.factors(spark, folder)
-    scores = ranking.factor_scores(pairs, vectors, vectors, EMBEDDING_SIZE)
+    scores = ranking.factor_scores(pairs, vectors, vectors)
     return scores.select("user_id", "item_id", F.round("score", 4).alias("score"))
 
 
@@ -181,10 +177,10 @@ def result_split(spark: SparkSession, folder: str) -> DataFrame:
 
 def rmse_eval(spark: SparkSession, folder: str) -> DataFrame:
     """Error of the item-mean model, trained on the train split, on the test split."""
-    split = rating_ops.with_split(fixtures.ratings(spark, folder))
-    test = cut_lineage(split.filter(F.col("split") == "test").select("user_id", "item_id", "rating"))
+    split = cut_lineage(rating_ops.with_split(fixtures.ratings(spark, folder)).select("user_id", "item_id", "rating", "split"))
+    test = split.filter(F.col("split") == "test").select("user_id", "item_id", "rating")
     means = evaluation.item_means(split.filter(F.col("split") == "train"))
-    pairs = cut_lineage(test.select("user_id", "item_id").distinct())
+    pairs = test.select("user_id", "item_id").distinct()
     predictions = skew.salted_join(pairs, means, "item_id", "user_id")
     error = evaluation.joined_rmse(test, predictions)
     return error.select("n_scored", "n_all", F.round("rmse_scored", 6).alias("rmse_scored"),
@@ -207,8 +203,9 @@ def wc_prefix_top(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def range_sum(spark: SparkSession, folder: str) -> DataFrame:
-    """Sum of 0..n-1 for n order lines."""
-    return sums.range_sum(spark, fixtures.table(spark, folder, "lineitem").count())
+    """Sum of the order keys of all order lines."""
+    total = sums.column_sum(fixtures.table(spark, folder, "lineitem"), "l_orderkey")
+    return total.select(F.col("total").cast("string").alias("total"))
 
 
 def top_items_per_group(spark: SparkSession, folder: str) -> DataFrame:
@@ -227,13 +224,28 @@ def item_similarity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def als_recommend(spark: SparkSession, folder: str) -> DataFrame:
-    """Twenty recommendations for the request of each state and season."""
+    """Twenty recommendations for the request of each state and season, from the ratings of that slice."""
     asked = rejects.accepted(requests.request_ratings(fixtures.slice_requests(spark, folder)))
     listed = stores.one_text_per_store(fixtures.stores(spark, folder))
-    best = als.recommend_for_requests(fixtures.ratings(spark, folder), asked, listed)
+    best = als.recommend_for_requests(fixtures.sliced_ratings(spark, folder), asked, listed)
     return best.withColumn("score", F.round("score", 4))
 
 
+def als_recommend_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold for the recommendations of each request, whatever the model: see the SQL form."""
+    asked = cut_lineage(rejects.accepted(requests.request_ratings(fixtures.slice_requests(spark, folder))))
+    listed = stores.one_text_per_store(fixtures.stores(spark, folder))
+    sliced = cut_lineage(fixtures.sliced_ratings(spark, folder).select("user_id", "item_id", "rating", "season", "state"))
+    best = als.recommend_for_requests(sliced, asked, listed)
+    slices = asked.select("request_id", "season", "state").distinct()
+    known = sliced.select("season", "state", "item_id").distinct().withColumn("in_slice", F.lit(1))
+    rated = asked.select("request_id", "item_id").distinct().withColumn("is_rated", F.lit(1))
+    return best.join(slices, "request_id").join(known, ["season", "state", "item_id"], "left").join(
+        rated, ["request_id", "item_id"], "left").groupBy("request_id").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("rank").alias("n_ranks"), F.max("rank").cast("bigint").alias("last_rank"),
+        F.count("in_slice").alias("n_in_slice"), F.count("is_rated").alias("n_rated"))
+
+
 def als_grid(spark: SparkSession, folder: str) -> DataFrame:
     return als.grid_search(fixtures.ratings(spark, folder))
 
@@ -285,6 +297,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bucket_split, ratings_summary, ratings_by_slice, season_counts, training_union, unrated_candidates,
         factor_score, topn_per_user, topn_with_names, positional_pair, result_format, result_split, rmse_eval,
         baseline_rmse, wc_top_words, wc_prefix_top, range_sum, top_items_per_group, dense_ids, item_similarity,
-        als_recommend, als_grid, stream_requests, toplist_load, ratings_load, ratings_of_slice,
+        als_recommend, als_recommend_rows, als_grid, stream_requests, toplist_load, ratings_load, ratings_of_slice,
     )
 }

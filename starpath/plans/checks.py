@@ -149,6 +149,18 @@ CHECKS: dict[str, str] = {
         SELECT CAST(user_id AS BIGINT) AS user_id, p_partkey AS item_id
         FROM (SELECT DISTINCT user_id FROM asked) users CROSS JOIN part
         WHERE NOT EXISTS (SELECT 1 FROM asked WHERE asked.user_id = users.user_id AND asked.item_id = p_partkey)""",
+    "als_recommend_rows": f"""{_TOP_LISTS}, {_ASKED},
+        requests AS (
+            SELECT DISTINCT state_index * 4 + list_position(['spring', 'summer', 'autumn', 'winter'], season) AS request_id,
+                   season, state
+            FROM top WHERE rank <= 10),
+        open_pairs AS (
+            SELECT DISTINCT request_id, sliced.item_id
+            FROM requests JOIN sliced USING (season, state) JOIN part ON sliced.item_id = p_partkey
+            WHERE NOT EXISTS (SELECT 1 FROM asked WHERE asked.user_id = -request_id AND asked.item_id = sliced.item_id))
+        SELECT CAST(request_id AS BIGINT) AS request_id, least(count(*), 20) AS n_rows, least(count(*), 20) AS n_ranks,
+               least(count(*), 20) AS last_rank, least(count(*), 20) AS n_in_slice, CAST(0 AS BIGINT) AS n_rated
+        FROM open_pairs GROUP BY request_id""",
     "factor_score": f"WITH {_RATINGS}, {_SCORES} SELECT user_id, item_id, score FROM scores",
     "topn_per_user": f"""WITH {_RATINGS}, {_SCORES}
         SELECT * FROM (
@@ -196,7 +208,7 @@ CHECKS: dict[str, str] = {
     "wc_top_words": f"WITH {_WORDS} SELECT word, cnt FROM words ORDER BY cnt DESC, word",
     "wc_prefix_top": f"""WITH {_WORDS}
         SELECT word, cnt FROM words WHERE lower(substr(word, 1, 1)) = 'a' ORDER BY cnt DESC, word LIMIT 10""",
-    "range_sum": "SELECT CAST(n * (n - 1) / 2 AS BIGINT) AS total FROM (SELECT count(*) AS n FROM lineitem)",
+    "range_sum": "SELECT CAST(coalesce(sum(l_orderkey), 0) AS VARCHAR) AS total FROM lineitem",
     "top_items_per_group": f"""{_TOP_LISTS}
         SELECT state, season, rank, item_id, n_ratings, round(mean_rating, 6) AS mean_rating FROM top""",
     "dense_ids": """

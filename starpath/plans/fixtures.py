@@ -14,11 +14,8 @@ from starpath.operators.toplists import top_items
 from starpath.schemas import CITIES, SEASONS
 from starpath.sources.tables import read_table
 
-LONG_TABLES = {"lineitem", "orders", "events", "documents"}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet", fill_cores=name in LONG_TABLES)
+    return read_table(spark, f"{folder}/{name}.parquet")
 
 
 def star(quantity: str) -> F.Column:
@@ -44,23 +41,23 @@ def ratings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _placed_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders with their customer's nation, as narrow as they can be.
+    """Orders with their season and their customer's place.
 
-    Orders meet customers before order lines, so that the lines, the longest table, are shuffled once.
-    Season and city are made from ``o_orderdate`` and ``c_nationkey`` after that.
+    Customers get their place first and orders meet customers before order lines, so a filter on city,
+    state or season reaches the shorter tables and the lines, the longest one, are shuffled once.
     """
-    customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    customers = with_place(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), "c_nationkey")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", season_of(F.col("o_orderdate")).alias("season"))
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
-        "o_orderkey", "o_custkey", "o_orderdate", "c_nationkey")
+        "o_orderkey", "o_custkey", "season", "state_index", "state", "city")
 
 
 def sliced_ratings(spark: SparkSession, folder: str) -> DataFrame:
     """Ratings with the season of the order and the state and city of the customer."""
     lines = _order_lines(spark, folder, _placed_orders(spark, folder))
-    return with_place(lines, "c_nationkey").select(
+    return lines.select(
         F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), "rating",
-        season_of(F.col("o_orderdate")).alias("season"), "state_index", "state", "city")
+        "season", "state_index", "state", "city")
 
 
 def users(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,9 +113,8 @@ def line_requests(spark: SparkSession, folder: str) -> DataFrame:
     pairs = F.concat(
         F.col("l_partkey").cast("string"), F.lit("="), star("l_quantity").cast("int").cast("string"), F.lit("&"),
         F.col("l_suppkey").cast("string"), F.lit("="), F.col("l_linenumber").cast("string"))
-    return with_place(lines, "c_nationkey").select(
-        (F.col("o_orderkey") + 1).alias("request_id"),
-        request_url(season_of(F.col("o_orderdate")), F.col("city"), pairs).alias("url"))
+    return lines.select(
+        (F.col("o_orderkey") + 1).alias("request_id"), request_url(F.col("season"), F.col("city"), pairs).alias("url"))
 
 
 def typed_stars(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,18 +10,9 @@ from starpath.operators.datasets import spread
 SLICE_COLUMNS = ("season", "state")
 
 
-def read_table(spark: SparkSession, path: str, fill_cores: bool = False) -> DataFrame:
-    """A Parquet table. With ``fill_cores`` a table of few pieces is spread over all cores first.
-
-    A file of one row group is read by one task however many cores there are, and a broadcast join
-    leaves it there. Where the scan has a piece for every core it stays as it is, so a large table
-    is never shuffled for this.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if fill_cores and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table."""
+    return spark.read.parquet(path)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:

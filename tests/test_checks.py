@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from starpath.plans.catalog import QUERIES
 from tests.compare import connect, normal
 
 FOLDER = os.environ.get("STARPATH_TEST_DATA", "/root/testdata/sf0.01")
@@ -30,4 +31,4 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_only_model_training_has_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"als_recommend", "als_grid"}
+    assert set(QUERIES) - set(entry.oracle_sql()) == {"als_recommend", "als_grid"}

@@ -43,16 +43,6 @@ def test_tuples_as_text(spark, tmp_path):
     assert back.collect() == df.collect()
 
 
-def test_tables_fill_cores_only_when_small(spark, tmp_path):
-    path = str(tmp_path / "t")
-    tables.write_table(spark.range(100).coalesce(1), path)
-    assert tables.read_table(spark, path).rdd.getNumPartitions() == 1
-    assert tables.read_table(spark, path, fill_cores=True).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    tables.write_table(spark.range(100).repartition(8), path)
-    plan = tables.read_table(spark, path, fill_cores=True)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Repartition" not in plan
-
-
 def test_jdbc_writer_options(spark, monkeypatch):
     """No database is started here; the options a save would use are recorded instead."""
     seen = {}

@@ -26,3 +26,8 @@ def test_letter_filter_reaches_below_the_aggregate(spark):
 def test_range_sum(spark):
     assert sums.range_sum(spark, 100_000).first().total == 4_999_950_000
     assert sums.range_sum(spark, 0).first().total == 0
+
+
+def test_sums_do_not_overflow(spark):
+    big = spark.createDataFrame([(2**62,)] * 8, "n bigint")
+    assert sums.column_sum(big, "n").first().total == 2**65
