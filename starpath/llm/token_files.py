@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from starpath.llm.common import new_folder, text_column, written
+from starpath.llm.common import chunks, new_folder, text_column, written
 from starpath.llm.tokens import by_size, encoder, tokenizer_file
 
 END_ID = 1
 #: Unpacked bytes after which a frame, or a file, is closed.
 FRAME_BYTES = 256 << 10
-FILE_BYTES = 32 << 20
+FILE_BYTES = 8 << 20
 SKIPPABLE, MAGIC = 0x184D2A5E, 0x53544B31
 _ENTRY, _TAIL = struct.Struct("<IIIQ"), struct.Struct("<QIII")
 
@@ -162,7 +162,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
                 names=["path", "task", "number", "documents", "tokens"])
 
         out = Writer(frame_bytes)
-        for batch in batches:
+        for batch in chunks(batches, 500):
             keys, at = batch.column(0).to_pylist(), 0
             for texts in by_size(batch.column(1).to_pylist()):
                 for k, ids in enumerate(encode(texts)):

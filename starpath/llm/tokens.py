@@ -9,6 +9,7 @@ tokens' strings, digits) is encoded as it stands. Tests compare all this with en
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -29,6 +30,9 @@ class Coder:
     """``encode_all(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
+        # one thread: others would each hold memory of their own, and tasks share the cores already
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        os.environ["RAYON_NUM_THREADS"] = "1"
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.byte_level = self.tokenizer.normalizer is None
