@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +14,9 @@ from starpath.operators import (
 )
 from starpath.plans import als, fixtures
 from starpath.plans.load import load_ratings, load_top_stores
-from starpath.session import cut_lineage, shared_folder
+from starpath.session import cut_lineage, run_folder
 from starpath.sources.lines import write_lines
-from starpath.sources.tables import read_table
+from starpath.sources.tables import read_slice, read_table, write_slices
 from starpath.streaming import requests as request_stream
 
 
@@ -120,12 +119,9 @@ def season_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def training_union(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals of the training set: the ratings and those of all slice requests."""
+    """The training set: the ratings and those of all slice requests."""
     asked = rejects.accepted(requests.request_ratings(fixtures.slice_requests(spark, folder)))
-    union = candidates.training_union(fixtures.ratings(spark, folder), asked)
-    return union.groupBy((F.col("user_id") < 0).alias("is_new")).agg(
-        F.count("*").alias("n_ratings"), F.count_distinct("user_id").alias("n_users"),
-        F.sum("rating").alias("sum_rating"))
+    return candidates.training_union(fixtures.ratings(spark, folder), asked)
 
 
 def unrated_candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -250,37 +246,41 @@ def als_grid(spark: SparkSession, folder: str) -> DataFrame:
     return als.grid_search(fixtures.ratings(spark, folder))
 
 
-def _run_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def toplist_load(spark: SparkSession, folder: str) -> DataFrame:
     """The load job end to end: packed lines as text files, parsed into the store table, read back."""
-    run = _run_folder(spark, "toplist")
+    run = run_folder(spark, "toplist")
     write_lines(toplists.pack_top_lines(fixtures.top_stores(spark, folder)), f"{run}/lines")
     load_top_stores(spark, f"{run}/lines", f"{run}/stores")
     return read_table(spark, f"{run}/stores")
 
 
 def ratings_load(spark: SparkSession, folder: str) -> DataFrame:
-    """Ratings as text files, loaded into the table by season and state, summed up per slice."""
-    run = _run_folder(spark, "ratings")
+    """Ratings as text files, loaded into the table by season and state, and read back."""
+    run = run_folder(spark, "ratings")
     write_lines(rating_ops.rating_lines(fixtures.ratings(spark, folder)), f"{run}/lines")
     load_ratings(spark, f"{run}/lines", fixtures.users(spark, folder), f"{run}/slices")
-    return read_table(spark, f"{run}/slices").groupBy("season", "state").agg(
-        F.count("*").alias("n_ratings"), F.sum("rating").alias("sum_rating"), F.sum("bucket").alias("sum_bucket"))
+    return read_table(spark, f"{run}/slices").select("user_id", "item_id", "rating", "bucket", "season", "state")
 
 
 def ratings_of_slice(spark: SparkSession, folder: str) -> DataFrame:
-    """The ratings of one season and state, the training input of one request."""
-    sliced = fixtures.sliced_ratings(spark, folder)
-    return sliced.filter((F.col("season") == "winter") & (F.col("state") == "NV")).select(
-        "user_id", "item_id", "rating")
+    """The ratings of one season and state, read from the layout by slice: the training input of one request."""
+    return read_slice(spark, _slices(spark, folder), "winter", "NV").select("user_id", "item_id", "rating")
+
+
+def ratings_of_season(spark: SparkSession, folder: str) -> DataFrame:
+    """The ratings of one season, read from the layout by slice."""
+    return read_slice(spark, _slices(spark, folder), "winter").select("user_id", "item_id", "rating", "state")
+
+
+def _slices(spark: SparkSession, folder: str) -> str:
+    run = run_folder(spark, "slices")
+    write_slices(fixtures.sliced_ratings(spark, folder).select("user_id", "item_id", "rating", "season", "state"), run)
+    return run
 
 
 def stream_requests(spark: SparkSession, folder: str) -> DataFrame:
     """``url_params`` run as a file stream over the pages."""
-    run = _run_folder(spark, "requests")
+    run = run_folder(spark, "requests")
     # The stream source takes a folder or a pattern; the pattern fits the table as one file or as a folder.
     pages = request_stream.request_files(
         spark, f"{folder}/[p]ages.parquet", fixtures.table(spark, folder, "pages").schema)
@@ -297,6 +297,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bucket_split, ratings_summary, ratings_by_slice, season_counts, training_union, unrated_candidates,
         factor_score, topn_per_user, topn_with_names, positional_pair, result_format, result_split, rmse_eval,
         baseline_rmse, wc_top_words, wc_prefix_top, range_sum, top_items_per_group, dense_ids, item_similarity,
-        als_recommend, als_recommend_rows, als_grid, stream_requests, toplist_load, ratings_load, ratings_of_slice,
+        als_recommend, als_recommend_rows, als_grid, stream_requests, toplist_load, ratings_load, ratings_of_slice, ratings_of_season,
     )
 }

@@ -141,10 +141,8 @@ CHECKS: dict[str, str] = {
                count(*) AS n_ratings
         FROM orders GROUP BY 1""",
     "training_union": f"""{_TOP_LISTS}, {_ASKED}
-        SELECT user_id < 0 AS is_new, count(*) AS n_ratings, count(DISTINCT user_id) AS n_users,
-               sum(rating) AS sum_rating
-        FROM (SELECT user_id, rating FROM ratings UNION ALL SELECT user_id, rating FROM asked)
-        GROUP BY 1""",
+        SELECT user_id, item_id, rating FROM ratings
+        UNION ALL SELECT CAST(user_id AS BIGINT), item_id, CAST(rating AS DOUBLE) FROM asked""",
     "unrated_candidates": f"""{_TOP_LISTS}, {_ASKED}
         SELECT CAST(user_id AS BIGINT) AS user_id, p_partkey AS item_id
         FROM (SELECT DISTINCT user_id FROM asked) users CROSS JOIN part
@@ -232,9 +230,9 @@ CHECKS: dict[str, str] = {
     "toplist_load": f"""{_TOP_LISTS}
         SELECT city, season, CAST(item_id AS VARCHAR) AS store_id, name AS store_name, rank FROM named""",
     "ratings_load": f"""WITH {_PLACES}, {_RATINGS}, {_SLICED}
-        SELECT season, state, count(*) AS n_ratings, sum(rating) AS sum_rating,
-               CAST(sum(bucket) AS BIGINT) AS sum_bucket
-        FROM sliced GROUP BY season, state""",
+        SELECT user_id, item_id, rating, bucket, season, state FROM sliced""",
     "ratings_of_slice": f"""WITH {_PLACES}, {_RATINGS}, {_SLICED}
         SELECT user_id, item_id, rating FROM sliced WHERE season = 'winter' AND state = 'NV'""",
+    "ratings_of_season": f"""WITH {_PLACES}, {_RATINGS}, {_SLICED}
+        SELECT user_id, item_id, rating, state FROM sliced WHERE season = 'winter'""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,14 @@ def shared_folder(spark: SparkSession) -> str:
     return configured or context.getCheckpointDir()
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder for what one run writes; it is removed when the session's JVM ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/starpath-{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
