@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starpath.llm.common import text_column
+from starpath.llm.common import chunks, text_column
 from starpath.llm.tokens import by_size, encoder, tokenizer_file
 
 CAPACITY = 2048
@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int
     encode = encoder(tokenizer)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, 500):
             keys, rows = batch.column(0), batch.column(2).to_numpy()
             at = 0
             for texts in by_size(batch.column(1).to_pylist()):
