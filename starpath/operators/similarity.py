@@ -33,9 +33,15 @@ def rating_cells(ratings: DataFrame) -> DataFrame:
 
 
 def similar_items(ratings: DataFrame, size: int = 10, min_support: int = 3, heavy: int = 1000,
-                  digits: int = 6) -> DataFrame:
-    """``(item_id, rank, similar_id, similarity, support)``: each item's ``size`` nearest items."""
-    pairs = item_pairs(ratings, min_support, heavy).withColumn("similarity", F.round("similarity", digits))
+                  digits: int | None = None) -> DataFrame:
+    """``(item_id, rank, similar_id, similarity, support)``: each item's ``size`` nearest items.
+
+    With ``digits`` similarities are rounded before they are ranked, so that items which are equally
+    near but for the order of additions are ranked by id.
+    """
+    pairs = item_pairs(ratings, min_support, heavy)
+    if digits is not None:
+        pairs = pairs.withColumn("similarity", F.round("similarity", digits))
     ends = F.array(
         F.struct(F.col("item_a").alias("item_id"), F.col("item_b").alias("similar_id")),
         F.struct(F.col("item_b").alias("item_id"), F.col("item_a").alias("similar_id")),
@@ -84,18 +90,22 @@ def _with_heavy_users(cells: DataFrame, activity: DataFrame, min_support: int, h
 
 
 def _common(cells: DataFrame) -> DataFrame:
-    """Sums over common users, block against block: a pair of items meets in exactly one cell per user."""
+    """Sums over common users, block against block: a pair of items meets in exactly one cell per user.
+
+    Only cells with the lower block on the left exist; there an item of the left block meets all of the
+    right one, and within a block the lower item meets the higher ones.
+    """
     own = F.pmod(F.xxhash64("item_id"), F.col("_blocks")).cast("int")
     blocked = cells.select("user_id", "item_id", "weight", "_blocks", own.alias("_own"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     left = blocked.select(
-        "user_id", F.col("_own").alias("_a"), every.alias("_b"),
+        "user_id", F.col("_own").alias("_a"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("_b"),
         F.col("item_id").alias("item_a"), F.col("weight").alias("_weight_a"))
     right = blocked.select(
-        "user_id", every.alias("_a"), F.col("_own").alias("_b"),
+        "user_id", F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_a"), F.col("_own").alias("_b"),
         F.col("item_id").alias("item_b"), F.col("weight").alias("_weight_b"))
-    met = left.join(right, ["user_id", "_a", "_b"]).filter(F.col("item_a") < F.col("item_b"))
-    return met.groupBy("item_a", "item_b").agg(
+    met = left.join(right, ["user_id", "_a", "_b"]).filter(
+        (F.col("_a") < F.col("_b")) | (F.col("item_a") < F.col("item_b")))
+    return met.groupBy(F.least("item_a", "item_b").alias("item_a"), F.greatest("item_a", "item_b").alias("item_b")).agg(
         F.sum(F.col("_weight_a") * F.col("_weight_b")).alias("dot"), F.count("*").alias("support"))
 
 

@@ -215,7 +215,13 @@ def dense_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def item_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    return similarity.similar_items(fixtures.ratings(spark, folder)).select(
+    return similarity.similar_items(fixtures.ratings(spark, folder), digits=6).select(
+        "item_id", "rank", "similar_id", "similarity", "support")
+
+
+def item_similarity_busy_users(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with users of more than twenty ratings taken as heavy ones."""
+    return similarity.similar_items(fixtures.ratings(spark, folder), heavy=20, digits=6).select(
         "item_id", "rank", "similar_id", "similarity", "support")
 
 
@@ -297,6 +303,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bucket_split, ratings_summary, ratings_by_slice, season_counts, training_union, unrated_candidates,
         factor_score, topn_per_user, topn_with_names, positional_pair, result_format, result_split, rmse_eval,
         baseline_rmse, wc_top_words, wc_prefix_top, range_sum, top_items_per_group, dense_ids, item_similarity,
+        item_similarity_busy_users,
         als_recommend, als_recommend_rows, als_grid, stream_requests, toplist_load, ratings_load, ratings_of_slice, ratings_of_season,
     )
 }

@@ -236,3 +236,5 @@ CHECKS: dict[str, str] = {
     "ratings_of_season": f"""WITH {_PLACES}, {_RATINGS}, {_SLICED}
         SELECT user_id, item_id, rating, state FROM sliced WHERE season = 'winter'""",
 }
+
+CHECKS["item_similarity_busy_users"] = CHECKS["item_similarity"]
