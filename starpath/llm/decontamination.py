@@ -4,11 +4,13 @@ A seed is the hash of the words at the fixed places of a mask; the places betwee
 with some words replaced still shares seeds with its source. The seeds of all test items are joined with
 those of all training texts. A bitmap of fixed size of the test seeds sorts out nearly all training seeds
 at the scan; what it lets through is joined exactly. Around each hit the two texts are laid side by side
-and the best ungapped stretch is sought: it counts if it is long enough and at most a quarter of its words
-differ.
+and the longest ungapped stretch is sought of which at most a quarter of the words differ, wherever they are:
+it counts if it is long enough.
 
-Words are cut at white space and ASCII punctuation, in lower case. Items with fewer words than a mask is
-long are sought by runs of ``SHORT`` words; items with fewer than ``SHORT`` words are not sought.
+Every such stretch has a seed. Of 5 words in a row some have at most one that differs, and a mask that leaves
+that one out (or four words in a row), but for 8 words of which the middle two differ; the last mask is for
+those. Words are cut at white space and ASCII punctuation, in lower case. Items with fewer than ``SHORT``
+words are not sought.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from pyspark.sql import functions as F
 from starpath.llm.common import BITS, binary_rows, bitmap, has_bit, text_column, written
 from starpath.llm.shingles import mix, word_hashes
 
-#: Masks of one length: 1 for a word that counts.
-MASKS = ("110100110101", "101101001011", "111000101101")
+#: Masks: 1 for a word that counts.
+MASKS = ("1111", "11101", "11011", "10111", "111001")
 SHORT = 5
 #: A stretch must have so many words, or the whole item if that is shorter.
 LEAST_WORDS = 12
-#: What a differing word costs, in equal words; stretches agree in more than 3 of 4 words.
+#: What a differing word costs, in equal words; stretches agree in at least 3 of 4 words.
 PENALTY = 3
 
 _TO_BLANK = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -41,9 +43,9 @@ def words_of(text: str | None) -> np.ndarray:
 
 
 def seeds(hashes: np.ndarray, masks: tuple[str, ...] = MASKS) -> list[np.ndarray]:
-    """For each mask, and last for runs of ``SHORT`` words, the seed at every place where it fits."""
+    """For each mask the seed at every place where it fits."""
     out = []
-    for number, mask in enumerate((*masks, "1" * SHORT)):
+    for number, mask in enumerate(masks):
         count = max(len(hashes) - len(mask) + 1, 0)
         seed = np.full(count, np.uint64(number + 1)) * _SALT
         for k, used in enumerate(mask):
@@ -60,8 +62,7 @@ def test_seeds(tests: DataFrame, id_column: str, text: str, masks: tuple[str, ..
             rows, found, places = [], [], []
             for row, value in enumerate(batch.column(1).to_pylist()):
                 hashes = words_of(value)
-                short = len(hashes) < len(masks[0])
-                for seed in seeds(hashes, masks)[-1:] if short else seeds(hashes, masks)[:-1]:
+                for seed in seeds(hashes, masks) if len(hashes) >= SHORT else ():
                     rows.append(np.full(len(seed), row))
                     found.append(seed.view(np.int64))
                     places.append(np.arange(len(seed)))
@@ -123,6 +124,14 @@ def best_stretch(same: np.ndarray, penalty: int = PENALTY) -> tuple[int, int]:
     return start, end
 
 
+def longest_stretch(same: np.ndarray, penalty: int = PENALTY) -> tuple[int, int]:
+    """``start, end`` of the longest stretch whose equal words outweigh ``penalty`` times its differing ones, or equal that."""
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -penalty))])
+    starts = np.searchsorted(-np.minimum.accumulate(total), -total)
+    end = int(np.argmax(np.arange(len(total)) - starts))
+    return int(starts[end]), end
+
+
 def overlaps(docs: DataFrame, tests: DataFrame, id_column: str = "doc_id", text: str = "text",
              test_id: str = "item_id", test_text: str = "text", masks: tuple[str, ...] = MASKS,
              least_words: int = LEAST_WORDS) -> DataFrame:
@@ -153,7 +162,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, id_column: str = "doc_id", text:
                 mine, item = np.frombuffer(mine, "<u4"), np.frombuffer(item, "<u4")
                 first, last = max(0, -shift), min(len(item), len(mine) - shift)
                 same = item[first:last] == mine[first + shift:last + shift]
-                start, end = best_stretch(same)
+                start, end = longest_stretch(same)
                 if end - start >= min(len(item), least_words):
                     rows.append(row)
                     values.append((first + start + shift, first + start, end - start, int(same[start:end].sum())))

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from starpath.llm.decontamination import best_stretch, decontaminated, overlaps, words_of
+from starpath.llm.decontamination import best_stretch, decontaminated, longest_stretch, overlaps, words_of
 from tests.llm.helpers import ODD, documents, prose
 
 
@@ -51,3 +51,31 @@ def test_kept_rows_are_unchanged(spark):
 def test_best_stretch():
     assert best_stretch(np.array([1, 0, 1, 1, 1, 1, 0, 1, 1, 1, 1], bool)) == (2, 11)
     assert best_stretch(np.zeros(3, bool)) == (0, 0)
+
+
+def test_every_copy_with_a_quarter_of_its_words_replaced(spark):
+    """Copies of each length with each number of replaced words up to a quarter and one more, against counted agreement."""
+    rng = np.random.default_rng(3)
+    tests = [" ".join(f"t{n}w{k}" for k in range(n)) for n in (5, 6, 7, 8, 9, 11, 12, 13, 15, 18, 20, 24)]
+    texts, expected = [], set()
+    for t, test in enumerate(tests):
+        n = len(test.split())
+        for wrong in range(n // 4 + 2):
+            ways = [rng.choice(n, wrong, replace=False) for _ in range(12)]
+            ways += [np.arange(wrong), np.arange(wrong) + (n - wrong) // 2, n - 1 - np.arange(wrong)]
+            for way in ways:
+                words = test.split()
+                for at in way:
+                    words[at] = "changed"
+                same = [a == b for a, b in zip(words, test.split())]
+                if any(4 * sum(same[a:b]) >= 3 * (b - a) for b in range(n + 1) for a in range(b - min(n, 12) + 1)):
+                    expected.add((len(texts), t))
+                texts.append(f"x{len(texts)} before " + " ".join(words) + " after it")
+    got = {(r.doc_id, r.item_id) for r in overlaps(documents(spark, texts), items(spark, tests)).collect()}
+    assert got == expected
+
+
+def test_longest_stretch():
+    assert longest_stretch(np.array([1, 0, 1, 1, 0, 0, 1], bool)) == (0, 4)
+    assert longest_stretch(np.array([0, 1, 1, 1, 1, 1, 0, 1], bool)) == (0, 8)
+    assert longest_stretch(np.zeros(3, bool)) == (0, 0)
