@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starpath.functions import text
+from starpath.functions import numbers, text
 from starpath.operators import (
-    candidates, evaluation, ids, places, ranking, ratings as rating_ops, rejects, requests, similarity, skew, stores,
-    sums, toplists, words,
+    candidates, evaluation, foldin, ids, places, ranking, ratings as rating_ops, rejects, requests, similarity, skew,
+    stores, sums, topk, toplists, words,
 )
-from starpath.plans import als, fixtures
+from starpath.plans import als, fixtures, serving
 from starpath.plans.load import load_ratings, load_top_stores
 from starpath.session import cut_lineage, run_folder
 from starpath.sources.lines import write_lines
@@ -252,6 +252,61 @@ def als_grid(spark: SparkSession, folder: str) -> DataFrame:
     return als.grid_search(fixtures.ratings(spark, folder))
 
 
+def _whole_ratings(spark: SparkSession, folder: str) -> DataFrame:
+    return fixtures.ratings(spark, folder).select(F.lit("").alias("slice"), "user_id", "item_id", "rating")
+
+
+def fold_in_users(spark: SparkSession, folder: str) -> DataFrame:
+    """Factors of every customer from its own ratings and fixed item vectors, one row per number."""
+    users = foldin.fold_in(_whole_ratings(spark, folder), fixtures.item_vectors(spark, folder), als.AlsSettings().reg)
+    return users.select("user_id", "n_known", F.posexplode("features").alias("place", "value")).withColumn(
+        "value", F.round("value", 6) + 0.0)
+
+
+def fold_in_top(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty best unrated items of every customer by its folded-in factors."""
+    rated = cut_lineage(_whole_ratings(spark, folder))
+    items = cut_lineage(fixtures.item_vectors(spark, folder))
+    users = foldin.fold_in(rated, items, als.AlsSettings().reg)
+    taken = rated.select("slice", "user_id", "item_id").distinct()
+    best = topk.best_unrated(users, topk.item_blocks(items), taken, 20)
+    return ranking.top_per_user(best).select("user_id", "rank", "item_id", F.round("score", 4).alias("score"))
+
+
+def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests, one per order with all its lines, as a file stream scored from a published model."""
+    run = run_folder(spark, "scores")
+    listed = stores.one_text_per_store(fixtures.stores(spark, folder))
+    serving.publish(fixtures.item_vectors(spark, folder), listed, als.AlsSettings().reg, f"{run}/models")
+    fixtures.line_requests(spark, folder).write.parquet(f"{run}/requests")
+    query = request_stream.score_from_store(
+        request_stream.request_files(spark, f"{run}/requests"), f"{run}/models", listed, f"{run}/out", f"{run}/progress", by=())
+    query.awaitTermination()
+    return read_table(spark, f"{run}/out").select("request_id", "rank", "item_id", "name", F.round("score", 4).alias("score"))
+
+
+def als_served_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold when the slice requests are answered from a trained and published model, whatever the model.
+
+    Each score is held against the item's factor row and the factors that solve the request's own equations.
+    """
+    run = run_folder(spark, "served")
+    asked = cut_lineage(rejects.accepted(requests.request_ratings(fixtures.slice_requests(spark, folder))))
+    listed = stores.one_text_per_store(fixtures.stores(spark, folder))
+    serving.train_and_publish(fixtures.sliced_ratings(spark, folder), listed, f"{run}/models")
+    model = serving.load(spark, f"{run}/models")
+    best = cut_lineage(serving.answer(model, asked, listed))
+    cut = als.slice_of(("season", "state"))
+    users = foldin.fold_in(asked.select(cut, "user_id", "item_id", "rating"), model.items, model.reg).select(
+        "slice", (-F.col("user_id")).alias("request_id"), F.col("features").alias("_user"), "n_known")
+    rated = asked.select("request_id", "item_id").distinct().withColumn("is_rated", F.lit(1))
+    met = best.join(users, "request_id").join(model.items, ["slice", "item_id"]).join(rated, ["request_id", "item_id"], "left")
+    right = F.abs(F.col("score") - numbers.dot(F.col("_user"), F.col("features"))) < 1e-6
+    return met.groupBy("request_id", "n_known").agg(
+        F.count("*").alias("n_rows"), F.max("rank").cast("bigint").alias("last_rank"),
+        F.count("is_rated").alias("n_rated"), F.count_if(right).alias("n_right"))
+
+
 def toplist_load(spark: SparkSession, folder: str) -> DataFrame:
     """The load job end to end: packed lines as text files, parsed into the store table, read back."""
     run = run_folder(spark, "toplist")
@@ -304,6 +359,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         factor_score, topn_per_user, topn_with_names, positional_pair, result_format, result_split, rmse_eval,
         baseline_rmse, wc_top_words, wc_prefix_top, range_sum, top_items_per_group, dense_ids, item_similarity,
         item_similarity_busy_users,
+        fold_in_users, fold_in_top, stream_scores, als_served_rows,
         als_recommend, als_recommend_rows, als_grid, stream_requests, toplist_load, ratings_load, ratings_of_slice, ratings_of_season,
     )
 }

@@ -53,6 +53,42 @@ _SCORES = """scores AS (
     FROM (SELECT DISTINCT user_id, item_id FROM ratings)
     JOIN embeddings u ON user_id = u.vec_id JOIN embeddings i ON item_id = i.vec_id)"""
 
+_VECTORS = """vectors AS (
+    SELECT item_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * mean) AS v
+    FROM embeddings JOIN (SELECT item_id, avg(rating) AS mean FROM ratings GROUP BY item_id) ON vec_id = item_id)"""
+
+# A user's factors as a weighted sum of its items' vectors. The weights solve (V V' + reg n I) w = r, which is as
+# many equations as the user has known ratings; they are eliminated one after the other.
+_FOLDED = """known AS (
+    SELECT user_id, item_id, rating, v, row_number() OVER (PARTITION BY user_id ORDER BY item_id, rating) AS k,
+           count(*) OVER (PARTITION BY user_id) AS n
+    FROM given JOIN vectors USING (item_id)),
+equations AS (
+    SELECT a.user_id, a.n, a.k,
+           list_append(list(list_dot_product(a.v, b.v) + CASE WHEN a.k = b.k THEN 0.4 * a.n ELSE 0 END ORDER BY b.k),
+                       any_value(a.rating)) AS line
+    FROM known a JOIN known b ON a.user_id = b.user_id GROUP BY a.user_id, a.n, a.k),
+solved(step, user_id, n, m) AS (
+    SELECT 0, user_id, n, list(line ORDER BY k) FROM equations GROUP BY user_id, n
+    UNION ALL
+    SELECT step + 1, user_id, n, list_transform(m, lambda line, i:
+               CASE WHEN i = step + 1 THEN list_transform(line, lambda x: x / line[step + 1])
+                    ELSE list_transform(line, lambda x, j: x - line[step + 1] * m[step + 1][j] / m[step + 1][step + 1]) END)
+    FROM solved WHERE step < n),
+weights AS (
+    SELECT user_id, n, unnest(list_transform(m, lambda line: line[n + 1])) AS w, unnest(range(1, n + 1)) AS k
+    FROM solved WHERE step = n),
+numbers AS (
+    SELECT user_id, n, place, sum(w * v[place + 1]) AS x
+    FROM weights JOIN known USING (user_id, n, k) CROSS JOIN range(64) AS places(place) GROUP BY user_id, n, place),
+folded AS (SELECT user_id, n, list(x ORDER BY place) AS x FROM numbers GROUP BY user_id, n),
+listed AS (
+    SELECT user_id, item_id, list_dot_product(x, v) AS score,
+           CAST(row_number() OVER (PARTITION BY user_id ORDER BY list_dot_product(x, v) DESC, item_id) AS INTEGER) AS rank
+    FROM folded CROSS JOIN vectors
+    WHERE NOT EXISTS (SELECT 1 FROM given WHERE given.user_id = folded.user_id AND given.item_id = vectors.item_id)
+    QUALIFY rank <= 20)"""
+
 _WORDS = r"""words AS (
     SELECT word, count(*) AS cnt
     FROM (SELECT unnest(string_split_regex(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+')) AS word FROM documents)
@@ -159,6 +195,30 @@ CHECKS: dict[str, str] = {
         SELECT CAST(request_id AS BIGINT) AS request_id, least(count(*), 20) AS n_rows, least(count(*), 20) AS n_ranks,
                least(count(*), 20) AS last_rank, least(count(*), 20) AS n_in_slice, CAST(0 AS BIGINT) AS n_rated
         FROM open_pairs GROUP BY request_id""",
+    "als_served_rows": f"""{_TOP_LISTS}, {_ASKED},
+        requests AS (
+            SELECT state_index * 4 + list_position(['spring', 'summer', 'autumn', 'winter'], season) AS request_id,
+                   season, state, count(*) AS n_known
+            FROM top WHERE rank <= 10 GROUP BY ALL),
+        open_pairs AS (
+            SELECT DISTINCT request_id, n_known, sliced.item_id
+            FROM requests JOIN sliced USING (season, state) JOIN part ON sliced.item_id = p_partkey
+            WHERE NOT EXISTS (SELECT 1 FROM asked WHERE asked.user_id = -request_id AND asked.item_id = sliced.item_id))
+        SELECT CAST(request_id AS BIGINT) AS request_id, n_known, least(count(*), 20) AS n_rows,
+               least(count(*), 20) AS last_rank, CAST(0 AS BIGINT) AS n_rated, least(count(*), 20) AS n_right
+        FROM open_pairs GROUP BY request_id, n_known""",
+    "fold_in_users": f"""WITH RECURSIVE {_RATINGS}, {_VECTORS}, given AS (SELECT user_id, item_id, rating FROM ratings), {_FOLDED}
+        SELECT user_id, n AS n_known, CAST(place AS INTEGER) AS place, round(x, 6) + 0.0 AS value FROM numbers""",
+    "fold_in_top": f"""WITH RECURSIVE {_RATINGS}, {_VECTORS}, given AS (SELECT user_id, item_id, rating FROM ratings), {_FOLDED}
+        SELECT user_id, rank, item_id, round(score, 4) AS score FROM listed""",
+    "stream_scores": f"""WITH RECURSIVE {_RATINGS}, {_VECTORS},
+        given AS (
+            SELECT -(o_orderkey + 1) AS user_id, item_id, rating FROM ratings
+            UNION ALL
+            SELECT -(o_orderkey + 1), l_suppkey, CAST(l_linenumber AS DOUBLE) FROM ratings WHERE l_linenumber BETWEEN 1 AND 5),
+        {_FOLDED}
+        SELECT -user_id AS request_id, rank, item_id, p_name AS name, round(score, 4) AS score
+        FROM listed JOIN part ON item_id = p_partkey""",
     "factor_score": f"WITH {_RATINGS}, {_SCORES} SELECT user_id, item_id, score FROM scores",
     "topn_per_user": f"""WITH {_RATINGS}, {_SCORES}
         SELECT * FROM (

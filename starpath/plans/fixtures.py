@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from starpath.functions.ratings import bucket_digit, season_of
 from starpath.operators.places import with_place
 from starpath.operators.toplists import top_items
-from starpath.schemas import CITIES, SEASONS
+from starpath.schemas import SEASONS
 from starpath.sources.tables import read_table
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -133,6 +133,9 @@ def factors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
 
 
-def request_ids() -> list[int]:
-    """The ids ``slice_requests`` can have: one per state and season."""
-    return [state * len(SEASONS) + season + 1 for state in range(len(CITIES)) for season in range(len(SEASONS))]
+def item_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings as item factors of one slice, as long as the item's mean rating."""
+    means = ratings(spark, folder).groupBy("item_id").agg(F.avg("rating").alias("mean"))
+    vectors = factors(spark, folder).withColumnRenamed("id", "item_id").join(means, "item_id")
+    return vectors.select(F.lit("").alias("slice"), "item_id", F.transform(
+        "features", lambda x: x.cast("double") * F.col("mean")).alias("features"))
