@@ -21,12 +21,12 @@ both groups have are met pair by pair. All arithmetic is in whole numbers.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,13 +36,14 @@ from starpath.llm.common import hot_join, text_column, utf8, written
 LEAST_DOCS = 3
 SCALE = 1_000_000_000
 TOP = 200
-#: Terms a task counts before it sends them on, and rows it holds before it reduces them to skybands.
-HELD_TERMS, HELD_ROWS = 400_000, 200_000
-#: Bytes of a text whose words are held at once.
-PIECE = 1 << 20
+#: Rows a task holds before it sends counts on, or reduces terms to skybands.
+HELD_COUNTS, HELD_ROWS = 1_500_000, 200_000
+#: Bytes of text whose words are held at once.
+PIECE = 1 << 22
 #: Parts of a group that are merged into one.
 FAN_IN = 16
-_STEP = 512
+#: Rows whose dominators are counted at once, and buckets a coordinate is cut into for bounds on their number.
+_STEP, _BUCKETS = 256, 64
 
 #: Letters A-Z as a-z, all other ASCII as a blank; what is above ASCII stays.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -59,35 +60,78 @@ def terms_of(text: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
+def _counted(groups: list[tuple[bytes, bytes]], texts: list[bytes]) -> pa.Table:
+    """``lang, source, term, n, docs`` of whole texts."""
+    words: list[bytes] = []
+    sizes = []
+    for text in texts:
+        found = text.translate(_FOLD).split()
+        words += found
+        sizes.append(len(found))
+    terms = pa.array(words, pa.binary()).dictionary_encode()
+    many = len(terms.dictionary) or 1
+    names = {name: place for place, name in enumerate(dict.fromkeys(groups))}
+    group = np.array([names[name] for name in groups], np.int64)
+    # first per document and term, then per group and term
+    pairs, times = np.unique(np.repeat(np.arange(len(texts)), sizes) * many + terms.indices.to_numpy(), return_counts=True)
+    keys, places = np.unique(group[pairs // many] * many + pairs % many, return_inverse=True)
+    return _count_rows(list(names), keys // many, terms.dictionary.take(pa.array(keys % many)),
+                       np.bincount(places, times, len(keys)).astype(np.int64), np.bincount(places, minlength=len(keys)))
+
+
+def _counted_long(group: tuple[bytes, bytes], text: bytes) -> pa.Table:
+    """The same for one very long text, piece by piece."""
+    times: Counter[bytes] = Counter()
+    for terms in terms_of(text):
+        times.update(terms)
+    return _count_rows([group], np.zeros(len(times), np.int64), pa.array(list(times), pa.binary()),
+                       np.fromiter(times.values(), np.int64, len(times)), np.ones(len(times), np.int64))
+
+
+def _count_rows(names: list[tuple[bytes, bytes]], group: np.ndarray, terms: pa.Array, n: np.ndarray, docs: np.ndarray) -> pa.Table:
+    langs, sources = (pa.array([name[k] for name in names], pa.binary()).take(pa.array(group)) for k in range(2))
+    return pa.table([*(column.cast(pa.string()) for column in (langs, sources, terms)), pa.array(n), pa.array(docs)],
+                    names=["lang", "source", "term", "n", "docs"])
+
+
 def group_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """``lang, source, term, n, docs``: partial counts of each group's terms and of the documents with them."""
+    columns = ["lang", "source", "term", "n", "docs"]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            for (language, origin), (times, documents) in held.items():
-                rows = iter(times.items())
-                while part := list(islice(rows, 50_000)):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([language] * len(part), pa.binary()).cast(pa.string()),
-                        pa.array([origin] * len(part), pa.binary()).cast(pa.string()),
-                        pa.array([term for term, _ in part], pa.binary()).cast(pa.string()),
-                        pa.array([n for _, n in part], pa.int64()),
-                        pa.array([documents[term] for term, _ in part], pa.int64())],
-                        names=["lang", "source", "term", "n", "docs"])
-            held.clear()
+        held: list[pa.Table] = []
+        groups: list[tuple[bytes, bytes]] = []
+        texts: list[bytes] = []
+        size = 0
+
+        def summed() -> pa.Table:
+            total = pa.concat_tables(held).group_by(columns[:3], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+            return total.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(columns)
+
+        def take() -> None:
+            held.append(_counted(groups, texts))
+            groups.clear()
+            texts.clear()
 
         for batch in batches:
             for language, origin, value in zip(*(utf8(batch.column(k)) for k in range(3))):
-                times, documents = held[language, origin]
-                found: set[bytes] = set()
-                for terms in terms_of(value):
-                    times.update(terms)
-                    found.update(terms)
-                documents.update(found)
-                if sum(len(own) for own, _ in held.values()) > HELD_TERMS:
-                    yield from sent()
-        yield from sent()
+                if len(value) > PIECE:
+                    held.append(_counted_long((language, origin), value))
+                else:
+                    groups.append((language, origin))
+                    texts.append(value)
+                    size += len(value) + 64
+                    if size > PIECE:
+                        take()
+                        size = 0
+                if sum(table.num_rows for table in held) > HELD_COUNTS:
+                    held = [summed()]
+                    if held[0].num_rows > HELD_COUNTS // 2:
+                        yield from held.pop().to_batches(50_000)
+        if texts:
+            take()
+        if held:
+            yield from summed().to_batches(50_000)
 
     return docs.select(text_column(lang), text_column(source), text_column(text)).mapInArrow(
         count, "lang string, source string, term string, n long, docs long")
@@ -103,42 +147,69 @@ def profiles(counts: DataFrame, least_docs: int) -> DataFrame:
     ).filter(F.col("docs") >= least_docs).drop("docs")
 
 
-def skyband(groups: np.ndarray, n: np.ndarray, lang_n: np.ndarray, terms: np.ndarray, k: int) -> np.ndarray:
-    """Places of the rows with fewer than ``k`` others of their group that dominate them.
+def skyband(groups: np.ndarray, n: np.ndarray, lang_n: np.ndarray, late: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows with fewer than ``k`` others of their group that dominate them; ``late`` is the rank of the term.
 
     Rows are met in an order in which those that dominate a row come before it. Of a row's dominators, the
     first ``k`` in that order have fewer than ``k`` themselves, so it is enough to count those kept so far.
+    Most rows are settled by bounds: how many kept rows are in lower buckets of both coordinates, and how
+    many in no higher ones. The others are compared with all that are kept.
     """
-    late = np.unique(terms, return_inverse=True)[1]
     order = np.lexsort((late, lang_n, -n, groups))
     cuts = np.flatnonzero(np.append(True, groups[order][1:] != groups[order][:-1]))
-    kept = []
-    for own in np.split(order, cuts[1:]):
-        held = own[:0]
-        for at in range(0, len(own), _STEP):
-            new = own[at:at + _STEP]
-            over = np.concatenate([held, new])
-            ahead = ((n[over] >= n[new, None]) & (lang_n[over] <= lang_n[new, None]) & (late[over] < late[new, None])).sum(1)
-            held = np.concatenate([held, new[ahead < k]])
-        kept.append(held)
-    return np.concatenate(kept)
+    return np.concatenate([order[:0], *(own[_few_ahead(lang_n[own], late[own], k)] for own in np.split(order, cuts[1:]))])
+
+
+def _few_ahead(low: np.ndarray, late: np.ndarray, k: int) -> np.ndarray:
+    """Places with fewer than ``k`` earlier places that have no higher ``low`` and a lower ``late``."""
+    def buckets(values: np.ndarray) -> np.ndarray:
+        ranks = np.unique(values, return_inverse=True)[1]
+        return ranks * _BUCKETS // (ranks.max() + 1) if len(ranks) else ranks
+
+    rows, columns = buckets(low), buckets(late)
+    cells = np.zeros((_BUCKETS, _BUCKETS), np.int64)
+    below = np.zeros((_BUCKETS + 1, _BUCKETS + 1), np.int64)
+    earlier = np.tri(_STEP, k=-1, dtype=bool)
+    kept, held = [], [low[:0], late[:0]]
+    for at in range(0, len(low), _STEP):
+        a, b, i, j = (values[at:at + _STEP] for values in (low, late, rows, columns))
+        ahead = ((a <= a[:, None]) & (b < b[:, None]) & earlier[:len(a), :len(a)]).sum(1)
+        least, most = ahead + below[i, j], ahead + below[i + 1, j + 1]
+        open_ = np.flatnonzero((least < k) & (most >= k))
+        if len(open_):
+            most[open_] = ahead[open_] + ((held[0] <= a[open_, None]) & (held[1] < b[open_, None])).sum(1)
+        stays = np.flatnonzero(most < k)
+        kept.append(at + stays)
+        held = [np.concatenate([held[0], a[stays]]), np.concatenate([held[1], b[stays]])]
+        np.add.at(cells, (i[stays], j[stays]), 1)
+        below[1:, 1:] = cells.cumsum(0).cumsum(1)
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
 def _reduced(rows: pa.Table, k: int) -> pa.Table:
-    names = [rows[c].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64) for c in ("lang", "source")]
-    groups = names[0] * (names[1].max() + 1) + names[1]
-    terms = rows["term"].cast(pa.binary()).to_numpy(zero_copy_only=False)
-    return rows.take(pa.array(skyband(groups, rows["n"].to_numpy(), rows["lang_n"].to_numpy(), terms, k)))
+    langs, sources, terms = (rows[c].combine_chunks() for c in ("lang", "source", "term"))
+    names = [column.dictionary_encode().indices.to_numpy().astype(np.int64) for column in (langs, sources)]
+    groups = names[0] * (names[1].max(initial=0) + 1) + names[1]
+    late = pc.rank(terms.cast(pa.binary()), "ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+    return rows.take(pa.array(skyband(groups, rows["n"].to_numpy(), rows["lang_n"].to_numpy(), late, k)))
 
 
-def skybands(terms: DataFrame, k: int) -> DataFrame:
-    """``lang, source, term, n, lang_n``: each group's terms that fewer than ``k`` others dominate."""
+def skybands(kept: DataFrame, k: int) -> DataFrame:
+    """``lang, source, term, n, lang_n``: each group's terms that fewer than ``k`` others dominate, from profiles."""
     schema = "lang string, source string, term string, n long, lang_n long"
 
+    def opened(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(3)
+        own = lists.flatten()
+        rows = pc.list_parent_indices(lists)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(rows), own.field("source"), batch.column(1).take(rows), own.field("n"), batch.column(2).take(rows)],
+            names=["lang", "source", "term", "n", "lang_n"])
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
+            held.append(opened(batch))
             if sum(b.num_rows for b in held) > HELD_ROWS:
                 held = _reduced(pa.Table.from_batches(held), k).combine_chunks().to_batches()
                 if sum(b.num_rows for b in held) > HELD_ROWS // 2:
@@ -148,7 +219,7 @@ def skybands(terms: DataFrame, k: int) -> DataFrame:
         if held:
             yield from _reduced(pa.Table.from_batches(held), k).to_batches()
 
-    found = written(terms.mapInArrow(keep, schema).withColumn("part", F.spark_partition_id()), "skyband")
+    found = written(kept.select("lang", "term", "lang_n", "profile").mapInArrow(keep, schema).withColumn("part", F.spark_partition_id()), "skyband")
     parts = found.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0] + 1
     while True:
         parts = -(-parts // FAN_IN)
@@ -190,10 +261,14 @@ def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
     single = patterns.select("lang", "m", F.explode("profile").alias("own"))
     counts = written(single.groupBy("lang", F.col("own.source").alias("source"), F.col("own.n").alias("n")).agg(
         F.sum("m").alias("m")), "counts")
-    both = patterns.select("lang", "m", "profile", F.explode("profile").alias("own")).select(
-        "lang", "m", "own", F.explode("profile").alias("other")).filter("own.source <> other.source").groupBy(
-        "lang", F.col("own.source").alias("source"), F.col("other.source").alias("item"),
-        F.col("own.n").alias("n"), F.col("other.n").alias("other_n")).agg(F.sum("m").alias("m"))
+    # two sources of a profile once, whichever is which; the few rows of their counts then stand for both
+    met = patterns.select("lang", "m", "profile", F.posexplode("profile").alias("place", "own")).select(
+        "lang", "m", "own", F.explode(F.slice("profile", F.col("place") + 2, F.size("profile"))).alias("other")).groupBy(
+        "lang", F.col("own.source").alias("a"), F.col("other.source").alias("b"),
+        F.col("own.n").alias("n_a"), F.col("other.n").alias("n_b")).agg(F.sum("m").alias("m"))
+    sides = F.array(*[F.struct(F.col(x).alias("source"), F.col(y).alias("item"), F.col(f"n_{x}").alias("n"), F.col(f"n_{y}").alias("other_n"))
+                      for x, y in ("ab", "ba")])
+    both = met.select("lang", "m", F.explode(sides).alias("side")).select("lang", "m", "side.*")
     others = groups.select("lang", F.col("source").alias("item"), F.col("total").alias("other_total"), F.col("none").alias("other_none"))
     pairs = written(groups.join(others, "lang").filter("source <> item").drop("lang_total"), "pairs")
 
@@ -219,9 +294,7 @@ def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
 
 def term_values(kept: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     """``lang, source, item, value``: what may be among each group's first ``top`` terms, its skyband."""
-    terms = kept.select("lang", "term", "lang_n", F.explode("profile").alias("own")).select(
-        "lang", "own.source", "term", "own.n", "lang_n")
-    found = skybands(terms, top)
+    found = skybands(kept, top)
     sizes = found.groupBy("lang", "source").agg(F.count("*").alias("rows"))
     keyed = written(groups.join(sizes, ["lang", "source"]).select(
         F.struct("lang", "source").alias("key"), "total", "vocabulary", "lang_total", "rows"), "sizes")

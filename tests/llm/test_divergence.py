@@ -71,18 +71,19 @@ def test_against_all_terms(spark, seed, parts):
 def test_few_ranks_with_many_parts_and_small_batches(spark, monkeypatch, top):
     monkeypatch.setattr(divergence, "FAN_IN", 2)
     monkeypatch.setattr(divergence, "HELD_ROWS", 30)
-    monkeypatch.setattr(divergence, "HELD_TERMS", 20)
+    monkeypatch.setattr(divergence, "HELD_COUNTS", 20)
+    monkeypatch.setattr(divergence, "PIECE", 60)
     rows = made(3)
     assert found(source_divergence(frame(spark, rows).repartition(9), top=top)) == brute(rows, top)
 
 
 def test_skyband_keeps_those_with_few_dominators():
     draw = np.random.default_rng(4)
-    for size, k in ((1, 1), (900, 1), (900, 3), (1500, 20)):
-        groups, n, lang_n = draw.integers(0, 2, size), draw.integers(1, 12, size), draw.integers(3, 40, size)
-        terms = np.array([f"{x:05d}".encode() for x in draw.permutation(size)], object)
-        ahead = ((groups == groups[:, None]) & (n >= n[:, None]) & (lang_n <= lang_n[:, None]) & (terms < terms[:, None])).sum(1)
-        assert sorted(skyband(groups, n, lang_n, terms, k)) == np.flatnonzero(ahead < k).tolist()
+    for size, k, most in ((1, 1, 5), (900, 1, 12), (900, 3, 2), (2500, 20, 12), (2500, 200, 900), (3000, 7, 1)):
+        groups, n, lang_n = draw.integers(0, 2, size), draw.integers(1, most + 1, size), draw.integers(3, 3 * most + 4, size)
+        late = draw.permutation(size)
+        ahead = ((groups == groups[:, None]) & (n >= n[:, None]) & (lang_n <= lang_n[:, None]) & (late < late[:, None])).sum(1)
+        assert sorted(skyband(groups, n, lang_n, late, k)) == np.flatnonzero(ahead < k).tolist()
 
 
 def test_terms_in_pieces(monkeypatch):
