@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,13 +10,14 @@ from pyspark.sql import functions as F
 
 from starpath.functions import numbers, text
 from starpath.operators import (
-    candidates, evaluation, foldin, ids, places, ranking, ratings as rating_ops, rejects, requests, similarity, skew,
-    stores, sums, topk, toplists, words,
+    candidates, distincts, evaluation, foldin, ids, places, ranking, ratings as rating_ops, rejects, requests, similarity, skew,
+    stored, stores, sums, tallies, topk, toplists, words,
 )
 from starpath.plans import als, fixtures, serving
 from starpath.plans.load import load_ratings, load_top_stores
 from starpath.session import cut_lineage, run_folder
-from starpath.sources.lines import write_lines
+from starpath.sources.buckets import read_by_user, write_by_user
+from starpath.sources.lines import read_ordered_lines, write_lines
 from starpath.sources.tables import read_slice, read_table, write_slices
 from starpath.streaming import requests as request_stream
 
@@ -37,6 +39,15 @@ def toplist_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return toplists.lookup_top_lines(older.unionByName(newer))
 
 
+def toplist_lookup_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from text files, the older lines in a file that comes first by name."""
+    run = run_folder(spark, "generations")
+    top = cut_lineage(fixtures.top_stores(spark, folder))
+    write_lines(toplists.pack_top_lines(top), f"{run}/lines/1")
+    write_lines(toplists.pack_top_lines(top.filter(F.col("season") != "winter"), 10), f"{run}/lines/2")
+    return toplists.lookup_top_lines(read_ordered_lines(spark, f"{run}/lines/*"))
+
+
 def store_list(spark: SparkSession, folder: str) -> DataFrame:
     top = fixtures.top_stores(spark, folder)
     listed = toplists.store_list(top.withColumn("store_id", F.col("item_id")), " Winter ", " Las Vegas ")
@@ -69,14 +80,24 @@ def rating_parse(spark: SparkSession, folder: str) -> DataFrame:
     return rejects.accepted(parsed).drop("value")
 
 
-def rating_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    """Event lines read as ratings: the rating is text for some types, the date too short for others."""
+def _event_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as rating lines: the rating is text for some types, the date too short for others."""
     events = fixtures.table(spark, folder, "events")
     date = F.when(F.col("event_type") == "view", F.lit("2024-01")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
     rating = F.when(F.col("event_type") == "error", F.lit("none")).otherwise(F.format_string("%.2f", "value"))
     item = F.when(F.col("event_type") == "signup", F.lit("")).otherwise(F.col("event_id").cast("string"))
-    lines = events.select(F.concat_ws("::", F.col("user_id").cast("string"), item, rating, date).alias("value"))
-    return rating_ops.parse_ratings(lines).groupBy("reject_reason").agg(F.count("*").alias("n_lines"))
+    return events.select(F.concat_ws("::", F.col("user_id").cast("string"), item, rating, date).alias("value"))
+
+
+def rating_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """How many event lines are no ratings, and why."""
+    parsed = rating_ops.parse_ratings(_event_lines(spark, folder))
+    return parsed.groupBy("reject_reason").agg(F.count("*").alias("n_lines"))
+
+
+def rating_reject_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The event lines that are no ratings, each with its reason."""
+    return rejects.rejected(rating_ops.parse_ratings(_event_lines(spark, folder))).select("value", "reject_reason")
 
 
 def rating_validate(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,6 +135,52 @@ def ratings_by_slice(spark: SparkSession, folder: str) -> DataFrame:
     return rating_ops.summary(fixtures.sliced_ratings(spark, folder), ("season", "state"))
 
 
+def distinct_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Ratings, users and items per slice, per season and in all, each level from the bitmaps of the one below."""
+    slices = cut_lineage(distincts.id_bitmaps(fixtures.sliced_ratings(spark, folder), ["season", "state"]))
+    seasons = cut_lineage(distincts.merged(slices, ["season"]))
+    none = F.lit(None).cast("string")
+    levels = (distincts.distinct_counts(slices, ["season", "state"]),
+              distincts.distinct_counts(seasons, ["season"]).withColumn("state", none),
+              distincts.distinct_counts(distincts.merged(seasons, []), []).withColumns({"season": none, "state": none}))
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+
+
+def rating_cap_by_user(spark: SparkSession, folder: str) -> DataFrame:
+    """The cap and each user's state from tables laid out by user; neither shuffles ratings again."""
+    run, name = run_folder(spark, "by-user"), uuid.uuid4().hex
+    write_by_user(fixtures.ratings(spark, folder), f"ratings_{name}", f"{run}/ratings", 8, order=("rated_at", "item_id", "rating"))
+    write_by_user(fixtures.users(spark, folder), f"users_{name}", f"{run}/users", 8)
+    capped = rating_ops.cap_per_user(read_by_user(spark, f"ratings_{name}"), [F.col("rated_at"), F.col("item_id"), F.col("rating")])
+    return capped.join(read_by_user(spark, f"users_{name}").hint("merge"), "user_id").select(
+        "user_id", "item_id", "rating", "rated_at", "position", "state")
+
+
+def baseline_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Split sizes and the mean baseline from tallies per file, updated as files come: two loads and a replay."""
+    run = run_folder(spark, "tallies")
+    ratings = fixtures.ratings(spark, folder).select("user_id", "item_id", "rating", "bucket")
+    for early in (True, False):
+        ratings.filter((F.col("user_id") % 3 == 0) == early).write.mode("append").parquet(f"{run}/ratings")
+        tallies.update(spark, f"{run}/ratings", f"{run}/state")
+    tallies.update(spark, f"{run}/ratings", f"{run}/state")
+    return tallies.mean_baseline(tallies.tallies(spark, f"{run}/state")).select(
+        "n_train", "n_validation", "n_test", F.round("mean_rating", 6).alias("mean_rating"),
+        F.round("baseline_rmse", 6).alias("baseline_rmse"))
+
+
+def stored_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """The summary over a stored table of ratings, which the second use reads instead of joining anew."""
+    tables = stored.StoredTables(spark, run_folder(spark, "stored"))
+    inputs = [f"{folder}/{name}.parquet" for name in ("lineitem", "orders")]
+
+    def build(session: SparkSession, *_paths: str) -> DataFrame:
+        return fixtures.ratings(session, folder)
+
+    tables.get("ratings", build, inputs)
+    return rating_ops.summary(tables.get("ratings", build, inputs))
+
+
 def season_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rating_ops.season_counts(fixtures.table(spark, folder, "orders"), "o_orderdate")
 
@@ -315,6 +382,27 @@ def toplist_load(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, f"{run}/stores")
 
 
+def toplist_load_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """What the load job refuses: winter's states are unknown, spring's lines end early, summer's stores have no names."""
+    run = run_folder(spark, "toplist")
+    top = cut_lineage(fixtures.top_stores(spark, folder))
+    state = F.when(F.col("season") == "winter", F.concat(F.lit("X"), "state")).otherwise(F.col("state"))
+    lines = toplists.pack_top_lines(top.withColumn("state", state).withColumn(
+        "name", F.when(F.col("season") != "summer", F.col("name"))))
+    cut = F.when(F.col("value").contains("::spring::"), F.substring_index("value", "::", 2)).otherwise(F.col("value"))
+    write_lines(lines.select(cut.alias("value")), f"{run}/lines")
+    load_top_stores(spark, f"{run}/lines", f"{run}/stores", f"{run}/rejects")
+    return read_table(spark, f"{run}/rejects").select("value", "rank", "reject_reason")
+
+
+def ratings_load_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """What the load of the event lines refuses, with lines of unknown users."""
+    run = run_folder(spark, "ratings")
+    write_lines(_event_lines(spark, folder), f"{run}/lines")
+    load_ratings(spark, f"{run}/lines", fixtures.users(spark, folder), f"{run}/slices", f"{run}/rejects")
+    return read_table(spark, f"{run}/rejects")
+
+
 def ratings_load(spark: SparkSession, folder: str) -> DataFrame:
     """Ratings as text files, loaded into the table by season and state, and read back."""
     run = run_folder(spark, "ratings")
@@ -360,6 +448,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         baseline_rmse, wc_top_words, wc_prefix_top, range_sum, top_items_per_group, dense_ids, item_similarity,
         item_similarity_busy_users,
         fold_in_users, fold_in_top, stream_scores, als_served_rows,
+        distinct_rollup, rating_cap_by_user, baseline_kept, stored_summary, toplist_lookup_files, rating_reject_rows,
+        toplist_load_rejects, ratings_load_rejects,
         als_recommend, als_recommend_rows, als_grid, stream_requests, toplist_load, ratings_load, ratings_of_slice, ratings_of_season,
     )
 }

@@ -89,6 +89,14 @@ listed AS (
     WHERE NOT EXISTS (SELECT 1 FROM given WHERE given.user_id = folded.user_id AND given.item_id = vectors.item_id)
     QUALIFY rank <= 20)"""
 
+_EVENT_LINES = """WITH lines AS (
+    SELECT user_id, CASE event_type WHEN 'signup' THEN 'bad_id' WHEN 'error' THEN 'bad_rating'
+                                    WHEN 'view' THEN 'bad_date' END AS reject_reason,
+           concat_ws('::', CAST(user_id AS VARCHAR), CASE WHEN event_type = 'signup' THEN '' ELSE CAST(event_id AS VARCHAR) END,
+                     CASE WHEN event_type = 'error' THEN 'none' ELSE printf('%.2f', value) END,
+                     CASE WHEN event_type = 'view' THEN '2024-01' ELSE strftime(ts, '%Y-%m-%d') END) AS value
+    FROM events)"""
+
 _WORDS = r"""words AS (
     SELECT word, count(*) AS cnt
     FROM (SELECT unnest(string_split_regex(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+')) AS word FROM documents)
@@ -128,6 +136,23 @@ CHECKS: dict[str, str] = {
                                WHEN 'view' THEN 'bad_date' END AS reject_reason,
                count(*) AS n_lines
         FROM events GROUP BY 1""",
+    "rating_reject_rows": f"""{_EVENT_LINES}
+        SELECT value, reject_reason FROM lines WHERE reject_reason IS NOT NULL""",
+    "ratings_load_rejects": f"""{_EVENT_LINES}
+        SELECT value, coalesce(reject_reason, 'unknown_user') AS reject_reason
+        FROM lines WHERE reject_reason IS NOT NULL OR user_id NOT IN (SELECT c_custkey FROM customer)""",
+    "toplist_load_rejects": f"""{_TOP_LISTS},
+        packed AS (
+            SELECT season, CASE WHEN season = 'winter' THEN 'X' ELSE '' END || state || '::' || season
+                   || CASE WHEN season = 'spring' THEN '' ELSE '::' || string_agg(
+                          CASE WHEN season = 'summer' THEN CAST(item_id AS VARCHAR) ELSE item_id || ',' || name END, '|' ORDER BY rank) END AS value,
+                   count(*) AS n
+            FROM named GROUP BY state, season)
+        SELECT value, CAST(rank AS INTEGER) AS rank,
+               CASE season WHEN 'winter' THEN 'unknown_state' ELSE 'missing_name' END AS reject_reason
+        FROM packed, range(1, 51) AS places(rank) WHERE rank <= n AND season IN ('winter', 'summer')
+        UNION ALL
+        SELECT value, NULL, 'missing_field' FROM packed WHERE season = 'spring'""",
     "rating_validate": """
         WITH typed AS (
             SELECT event_id,
@@ -170,6 +195,21 @@ CHECKS: dict[str, str] = {
         SELECT season, state, count(*) AS n_ratings, count(DISTINCT user_id) AS n_users,
                count(DISTINCT item_id) AS n_items
         FROM sliced GROUP BY season, state""",
+    "distinct_rollup": f"""WITH {_PLACES}, {_RATINGS}, {_SLICED}
+        SELECT season, state, count(*) AS n_rows, count(DISTINCT user_id) AS n_user_id, count(DISTINCT item_id) AS n_item_id
+        FROM sliced GROUP BY GROUPING SETS ((season, state), (season), ())""",
+    "rating_cap_by_user": f"""WITH {_PLACES}, {_RATINGS}, {_SLICED}
+        SELECT * FROM (
+            SELECT user_id, item_id, rating, rated_at,
+                   CAST(row_number() OVER (PARTITION BY user_id ORDER BY rated_at, item_id, rating) AS INTEGER) AS position, state
+            FROM sliced)
+        WHERE position <= 11""",
+    "baseline_kept": f"""WITH {_RATINGS}, {_SPLIT},
+        overall AS (SELECT avg(rating) AS mean_rating FROM split_ratings WHERE split <> 'test')
+        SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'validation') AS n_validation,
+               count(*) FILTER (WHERE split = 'test') AS n_test, round(any_value(mean_rating), 6) AS mean_rating,
+               round(sqrt(avg((mean_rating - rating) ** 2) FILTER (WHERE split = 'test')), 6) AS baseline_rmse
+        FROM split_ratings CROSS JOIN overall""",
     "season_counts": """
         SELECT CASE WHEN month(o_orderdate) BETWEEN 3 AND 5 THEN 'spring'
                     WHEN month(o_orderdate) BETWEEN 6 AND 8 THEN 'summer'
@@ -298,3 +338,5 @@ CHECKS: dict[str, str] = {
 }
 
 CHECKS["item_similarity_busy_users"] = CHECKS["item_similarity"]
+CHECKS["stored_summary"] = CHECKS["ratings_summary"]
+CHECKS["toplist_lookup_files"] = CHECKS["toplist_lookup"]

@@ -1,0 +1,128 @@
+"""Results that are kept and added to: distinct counts, tallies per file, stored tables, the layout by user."""
+
+from __future__ import annotations
+
+import random
+import threading
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
+import pytest
+from pyspark.sql import functions as F
+
+from starpath.operators import distincts, evaluation, ratings as rating_ops, tallies
+from starpath.operators.stored import StoredTables
+from starpath.sources.buckets import read_by_user, write_by_user
+
+SCHEMA = "user_id bigint, item_id bigint, rating double, bucket int, season string, state string"
+
+
+@pytest.fixture(scope="module")
+def rows():
+    draw = random.Random(4)
+    return [(draw.choice([None, draw.randrange(90), draw.randrange(200_000)]), draw.randrange(40), draw.choice([1.0, 2.5, 4.0, 5.0, None]),
+             draw.randrange(10), draw.choice(["spring", "summer"]), draw.choice(["NV", "AZ", "ON"])) for _ in range(3000)]
+
+
+def counted(rows, by):
+    groups = {}
+    for row in rows:
+        groups.setdefault(tuple(row[k] for k in by), []).append(row)
+    return sorted((*key, len(own), len({r[0] for r in own} - {None}), len({r[1] for r in own})) for key, own in groups.items())
+
+
+def test_distinct_counts_add_up(spark, rows):
+    first, later = (distincts.id_bitmaps(spark.createDataFrame(part, SCHEMA), ["season", "state"]) for part in (rows[:2000], rows[2000:]))
+    both = first.unionByName(later)
+    for names, places in ((["season", "state"], (4, 5)), (["season"], (4,)), ([], ())):
+        level = distincts.merged(both, names)
+        assert sorted(map(tuple, distincts.distinct_counts(level, names).collect())) == counted(rows, places)
+    assert distincts.distinct_counts(distincts.id_bitmaps(spark.createDataFrame([], SCHEMA), ["state"]), ["state"]).collect() == []
+
+
+def test_tallies_equal_a_full_run_after_appends_and_a_replay(spark, rows, tmp_path):
+    source, state = str(tmp_path / "ratings"), str(tmp_path / "state")
+    parts = [rows[:10], rows[10:1700], rows[1700:]]
+    for n, part in enumerate(parts, 1):
+        spark.createDataFrame(part, SCHEMA).repartition(n).write.mode("append").parquet(source)
+        assert tallies.update(spark, source, state, ("season", "state")) == n
+        whole = rating_ops.with_split(spark.createDataFrame(sum(parts[:n], []), SCHEMA))
+        kept = tallies.tallies(spark, state)
+        got, expected = tallies.mean_baseline(kept).first(), evaluation.mean_baseline(whole).first()
+        sizes = {r.split: r.n for r in whole.groupBy("split").agg(F.count("rating").alias("n")).collect()}
+        assert {name: got[f"n_{name}"] for name in ("train", "validation", "test")} == {
+            name: sizes.get(name, 0) for name in ("train", "validation", "test")}
+        assert got.mean_rating == pytest.approx(expected.mean_rating) and got.baseline_rmse == pytest.approx(expected.baseline_rmse)
+        assert tallies.update(spark, source, state, ("season", "state")) == 0
+    groups = {(r.season, r.split): r for r in tallies.merged(kept, ["season", "split"]).collect()}
+    for r in whole.filter("rating is not null").groupBy("season", "split").agg(
+            F.count("*").alias("n"), F.avg("rating").alias("mean"), F.var_pop("rating").alias("var")).collect():
+        own = groups[r.season, r.split]
+        assert (own.n, own.mean, own.squares) == (r.n, pytest.approx(r["mean"]), pytest.approx(r.n * r["var"]))
+
+
+def test_two_updates_at_once_count_a_file_once(spark, rows, tmp_path):
+    source, state = str(tmp_path / "ratings"), str(tmp_path / "state")
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(source)
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda _: tallies.update(spark, source, state), range(3)))
+    assert tallies.mean_baseline(tallies.tallies(spark, state)).first().n_train == sum(r[3] < 6 and r[2] is not None for r in rows)
+
+
+def test_a_file_without_ratings_is_seen_once(spark, tmp_path):
+    source, state = str(tmp_path / "ratings"), str(tmp_path / "state")
+    spark.createDataFrame([], SCHEMA).coalesce(1).write.parquet(source)
+    assert tallies.update(spark, source, state) == 1
+    assert tallies.update(spark, source, state) == 0
+    got = tallies.mean_baseline(tallies.tallies(spark, state)).first()
+    assert (got.n_train, got.n_test, got.mean_rating, got.baseline_rmse) == (0, 0, None, None)
+
+
+def test_stored_tables_are_built_once_and_anew_for_changed_input(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "tables")
+    spark.range(5).write.parquet(source)
+    built, guard = [], threading.Lock()
+
+    def build(session, path, factor=1):
+        with guard:
+            built.append(factor)
+        return session.read.parquet(path).select((F.col("id") * factor).alias("id"))
+
+    tables = StoredTables(spark, folder)
+    with ThreadPoolExecutor(4) as pool:
+        sums = list(pool.map(lambda factor: tables.get("ids", build, [source], factor=factor).agg(F.sum("id")).first()[0], [1, 2] * 4))
+    assert sums == [10, 20] * 4 and sorted(built) == [1, 2]
+    # another session finds them
+    assert StoredTables(spark, folder).get("ids", build, [source], factor=2).count() == 5 and len(built) == 2
+    spark.range(5, 7).write.mode("append").parquet(source)
+    assert StoredTables(spark, folder).get("ids", build, [source], factor=2).count() == 7 and len(built) == 3
+    # two sessions that build the same table at once read one result
+    spark.range(7, 8).write.mode("append").parquet(source)
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(lambda _: StoredTables(spark, folder).get("ids", build, [source]).count(), range(2))) == [8, 8]
+
+
+def test_a_failed_build_leaves_no_table(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "tables")
+    spark.range(5).write.parquet(source)
+    tables = StoredTables(spark, folder)
+    with pytest.raises(Exception):
+        tables.get("ids", lambda session, path: session.read.parquet(path).select(F.raise_error(F.lit("no"))), [source])
+    assert tables.get("ids", lambda session, path: session.read.parquet(path), [source]).count() == 5
+
+
+def test_layout_by_user_needs_no_shuffle(spark, rows, tmp_path):
+    known = [row for row in rows if row[0] is not None]
+    name = uuid.uuid4().hex
+    write_by_user(spark.createDataFrame(known, SCHEMA), f"ratings_{name}", f"{tmp_path}/ratings", 4, order=("item_id",))
+    homes = spark.createDataFrame([(u, f"home{u}") for u in {row[0] for row in known}], "user_id bigint, home string")
+    write_by_user(homes, f"users_{name}", f"{tmp_path}/users", 4)
+    ratings = read_by_user(spark, f"ratings_{name}")
+    capped = rating_ops.cap_per_user(ratings, [F.col("item_id"), F.col("rating"), F.col("bucket")])
+    joined = capped.join(read_by_user(spark, f"users_{name}").hint("merge"), "user_id").groupBy("user_id").agg(F.count("*").alias("n"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan and plan.count("Bucketed: true") == 2
+    expected = {}
+    for row in known:
+        expected[row[0]] = min(11, expected.get(row[0], 0) + 1)
+    assert {r.user_id: r.n for r in joined.collect()} == expected
