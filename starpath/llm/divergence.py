@@ -37,9 +37,9 @@ LEAST_DOCS = 3
 SCALE = 1_000_000_000
 TOP = 200
 #: Rows a task holds before it sends counts on, or reduces terms to skybands.
-HELD_COUNTS, HELD_ROWS = 1_500_000, 200_000
+HELD_COUNTS, HELD_ROWS = 700_000, 200_000
 #: Bytes of text whose words are held at once.
-PIECE = 1 << 22
+PIECE = 1 << 20
 #: Parts of a group that are merged into one.
 FAN_IN = 16
 #: Rows whose dominators are counted at once, and buckets a coordinate is cut into for bounds on their number.
@@ -60,8 +60,8 @@ def terms_of(text: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
-def _counted(groups: list[tuple[bytes, bytes]], texts: list[bytes]) -> pa.Table:
-    """``lang, source, term, n, docs`` of whole texts."""
+def _counted(groups: list[int], texts: list[bytes]) -> pa.Table:
+    """``group, term, n, docs`` of whole texts."""
     words: list[bytes] = []
     sizes = []
     for text in texts:
@@ -70,43 +70,45 @@ def _counted(groups: list[tuple[bytes, bytes]], texts: list[bytes]) -> pa.Table:
         sizes.append(len(found))
     terms = pa.array(words, pa.binary()).dictionary_encode()
     many = len(terms.dictionary) or 1
-    names = {name: place for place, name in enumerate(dict.fromkeys(groups))}
-    group = np.array([names[name] for name in groups], np.int64)
     # first per document and term, then per group and term
     pairs, times = np.unique(np.repeat(np.arange(len(texts)), sizes) * many + terms.indices.to_numpy(), return_counts=True)
-    keys, places = np.unique(group[pairs // many] * many + pairs % many, return_inverse=True)
-    return _count_rows(list(names), keys // many, terms.dictionary.take(pa.array(keys % many)),
+    keys, places = np.unique(np.array(groups, np.int64)[pairs // many] * many + pairs % many, return_inverse=True)
+    return _count_rows(keys // many, terms.dictionary.take(pa.array(keys % many)),
                        np.bincount(places, times, len(keys)).astype(np.int64), np.bincount(places, minlength=len(keys)))
 
 
-def _counted_long(group: tuple[bytes, bytes], text: bytes) -> pa.Table:
+def _counted_long(group: int, text: bytes) -> pa.Table:
     """The same for one very long text, piece by piece."""
     times: Counter[bytes] = Counter()
     for terms in terms_of(text):
         times.update(terms)
-    return _count_rows([group], np.zeros(len(times), np.int64), pa.array(list(times), pa.binary()),
+    return _count_rows(np.full(len(times), group), pa.array(list(times), pa.binary()),
                        np.fromiter(times.values(), np.int64, len(times)), np.ones(len(times), np.int64))
 
 
-def _count_rows(names: list[tuple[bytes, bytes]], group: np.ndarray, terms: pa.Array, n: np.ndarray, docs: np.ndarray) -> pa.Table:
-    langs, sources = (pa.array([name[k] for name in names], pa.binary()).take(pa.array(group)) for k in range(2))
-    return pa.table([*(column.cast(pa.string()) for column in (langs, sources, terms)), pa.array(n), pa.array(docs)],
-                    names=["lang", "source", "term", "n", "docs"])
+def _count_rows(groups: np.ndarray, terms: pa.Array, n: np.ndarray, docs: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(groups, pa.int64()), terms, pa.array(n), pa.array(docs)], names=["group", "term", "n", "docs"])
 
 
 def group_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """``lang, source, term, n, docs``: partial counts of each group's terms and of the documents with them."""
-    columns = ["lang", "source", "term", "n", "docs"]
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[tuple[bytes, bytes], int] = {}
         held: list[pa.Table] = []
-        groups: list[tuple[bytes, bytes]] = []
+        groups: list[int] = []
         texts: list[bytes] = []
         size = 0
 
         def summed() -> pa.Table:
-            total = pa.concat_tables(held).group_by(columns[:3], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
-            return total.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(columns)
+            total = pa.concat_tables(held).group_by(["group", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+            return total.select(["group", "term", "n_sum", "docs_sum"]).rename_columns(["group", "term", "n", "docs"])
+
+        def sent(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            own = [pa.array([name[k] for name in names], pa.binary()).cast(pa.string()) for k in range(2)]
+            for batch in table.to_batches(50_000):
+                yield pa.RecordBatch.from_arrays(
+                    [*(column.take(batch.column(0)) for column in own), batch.column(1).cast(pa.string()), *batch.columns[2:]],
+                    names=["lang", "source", "term", "n", "docs"])
 
         def take() -> None:
             held.append(_counted(groups, texts))
@@ -115,10 +117,11 @@ def group_counts(docs: DataFrame, lang: str = "lang", source: str = "source", te
 
         for batch in batches:
             for language, origin, value in zip(*(utf8(batch.column(k)) for k in range(3))):
+                group = names.setdefault((language, origin), len(names))
                 if len(value) > PIECE:
-                    held.append(_counted_long((language, origin), value))
+                    held.append(_counted_long(group, value))
                 else:
-                    groups.append((language, origin))
+                    groups.append(group)
                     texts.append(value)
                     size += len(value) + 64
                     if size > PIECE:
@@ -127,11 +130,11 @@ def group_counts(docs: DataFrame, lang: str = "lang", source: str = "source", te
                 if sum(table.num_rows for table in held) > HELD_COUNTS:
                     held = [summed()]
                     if held[0].num_rows > HELD_COUNTS // 2:
-                        yield from held.pop().to_batches(50_000)
+                        yield from sent(held.pop())
         if texts:
             take()
         if held:
-            yield from summed().to_batches(50_000)
+            yield from sent(summed())
 
     return docs.select(text_column(lang), text_column(source), text_column(text)).mapInArrow(
         count, "lang string, source string, term string, n long, docs long")
