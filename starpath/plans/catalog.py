@@ -19,7 +19,7 @@ from starpath.session import cut_lineage, run_folder
 from starpath.sources.buckets import read_by_user, write_by_user
 from starpath.sources.lines import read_ordered_lines, write_lines
 from starpath.sources.tables import read_slice, read_table, write_slices
-from starpath.streaming import requests as request_stream
+from starpath.streaming import caps, requests as request_stream
 
 
 def toplist_pack(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,6 +111,17 @@ def rating_cap(spark: SparkSession, folder: str) -> DataFrame:
     return capped.select("user_id", "item_id", "rating", "rated_at", "position")
 
 
+def rating_cap_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over a stream of rating files, several batches of them, by state per user."""
+    run = run_folder(spark, "caps")
+    columns = ["user_id", "item_id", "rating", "rated_at"]
+    ratings = fixtures.ratings(spark, folder).select(*columns)
+    ratings.repartition(6).write.parquet(f"{run}/ratings")
+    stream = request_stream.request_files(spark, f"{run}/ratings", ratings.schema, files_per_batch=3)
+    caps.write_first_ratings(stream, f"{run}/out", f"{run}/progress").awaitTermination()
+    return caps.current_lists(spark, f"{run}/out").select(*columns, "position")
+
+
 def store_dim(spark: SparkSession, folder: str) -> DataFrame:
     return stores.distinct_stores(rejects.accepted(stores.parse_stores(fixtures.store_lines(spark, folder))))
 
@@ -448,7 +459,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         baseline_rmse, wc_top_words, wc_prefix_top, range_sum, top_items_per_group, dense_ids, item_similarity,
         item_similarity_busy_users,
         fold_in_users, fold_in_top, stream_scores, als_served_rows,
-        distinct_rollup, rating_cap_by_user, baseline_kept, stored_summary, toplist_lookup_files, rating_reject_rows,
+        distinct_rollup, rating_cap_by_user, rating_cap_stream, baseline_kept, stored_summary, toplist_lookup_files, rating_reject_rows,
         toplist_load_rejects, ratings_load_rejects,
         als_recommend, als_recommend_rows, als_grid, stream_requests, toplist_load, ratings_load, ratings_of_slice, ratings_of_season,
     )

@@ -340,3 +340,4 @@ CHECKS: dict[str, str] = {
 CHECKS["item_similarity_busy_users"] = CHECKS["item_similarity"]
 CHECKS["stored_summary"] = CHECKS["ratings_summary"]
 CHECKS["toplist_lookup_files"] = CHECKS["toplist_lookup"]
+CHECKS["rating_cap_stream"] = CHECKS["rating_cap"]
