@@ -37,7 +37,7 @@ LEAST_DOCS = 3
 SCALE = 1_000_000_000
 TOP = 200
 #: Rows a task holds before it sends counts on, or reduces terms to skybands.
-HELD_COUNTS, HELD_ROWS = 700_000, 200_000
+HELD_COUNTS, HELD_ROWS = 1_200_000, 200_000
 #: Bytes of text whose words are held at once.
 PIECE = 1 << 20
 #: Parts of a group that are merged into one.
@@ -240,8 +240,11 @@ def _whole(a: Column, b: Column) -> Column:
 
 def share(n: Column, total: Column, vocabulary: Column) -> Column:
     """A term's smoothed share of a group in parts of ``SCALE``; null where no term is kept."""
-    parts = F.lit(SCALE).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)")
-    return 1 + _whole(parts, F.nullif(total + vocabulary, F.lit(0)).cast("decimal(20,0)"))
+    all_terms = F.nullif(total + vocabulary, F.lit(0))
+    wide = F.lit(SCALE).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)")
+    # the same number either way; few counts need more than 63 bits
+    return 1 + F.when(n < (1 << 62) // SCALE, _whole(SCALE * (n + 1), all_terms)).otherwise(
+        _whole(wide, all_terms.cast("decimal(20,0)")))
 
 
 def moved(p: Column, q: Column) -> Column:
