@@ -33,6 +33,8 @@ DISTANCE = 3
 BLOCK = 512
 #: Bytes of a text whose words are held at once, and fingerprints whose keys are.
 PIECE, AT_ONCE = 1 << 20, 4096
+#: Nodes whose keys are made in one task, as a node of eight bytes gives about a hundred keys.
+PER_TASK = 200_000
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 _SPACE = b" \t\n\v\f\r"
@@ -112,6 +114,8 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
 
 def lists(nodes: DataFrame, block: int) -> DataFrame:
     """``nodes``: the members of each shared key, in blocks and pairs of blocks."""
+    tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() // PER_TASK))
+    nodes = nodes.select("node").repartition(tasks, "node")
     shared = written(shared_keys(nodes), "shared-keys")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     posted = _post(nodes, bitmap(shared, _place(F.col("key")))).select("key", "node")
