@@ -1,10 +1,10 @@
 """Token ids of whole texts, encoding each distinct word once per Python worker.
 
 Both tokenizers cut a text into words before they merge, and no word's ids depend on its neighbours. So a
-text is cut at white space where that is certain to be a word boundary, and the ids of known words are
-joined. New words of Latin letters go to the tokenizer in one string, as the tokens that start or end a
-word show where each one's ids begin. Whatever is not plain (runs of blanks, other scripts, special
-tokens' strings, digits) is encoded as it stands. Tests compare all this with encoding whole texts.
+text is cut at white space where that is certain to be a word boundary, the distinct words of many texts are
+looked up, and the ids are put together in one go. New words of Latin letters go to the tokenizer in one string, as the
+tokens that start or end a word show where each one's ids begin. Whatever is not plain (runs of blanks, other
+scripts, special tokens' strings, digits) is encoded as it stands. Tests compare all this with encoding whole texts.
 """
 
 from __future__ import annotations
@@ -14,13 +14,18 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-#: Words a worker remembers; the memory bound. Further words are encoded each time they come up.
-REMEMBERED = 300_000
+#: Words a worker remembers; the memory bound. They are kept in two generations: when the younger is full it becomes the
+#: older one, and what is not used again by then is forgotten.
+REMEMBERED = 600_000
 
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
-_WORD = re.compile(f"([{_LETTERS}]+)([.,;:!?|#$%&*]*)")
+#: A word, with the blank before it, and what may follow it as a token of its own.
+_WORDS = re.compile(f"^( ?[{_LETTERS}]+)([.,;:!?|#$%&*]*)$", re.MULTILINE)
+#: Stands between pieces while a text is cut.
+_CUT = "\x1f"
 #: Python cuts at these, the tokenizers don't.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _coders: dict[str, "Coder"] = {}
@@ -41,25 +46,23 @@ class Coder:
         self.edge = np.zeros(size, bool)
         for token, number in vocabulary.items():
             self.edge[number] = token.startswith("Ġ") if self.byte_level else token.endswith("</w>")
-        self.newline = self.plain("\n") if self.byte_level else b""
-        #: Words after a blank, and words at the start of a line; alike where white space is dropped.
-        self.inner: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {} if self.byte_level else self.inner
+        #: Ids of pieces: words as they stand in a text, for the byte-level kind with the blank before them, and the line end.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _many(self, words: list[str], blank: str) -> list[bytes]:
-        """The ids of words of Latin letters; ``blank`` stands before each."""
+    def _many(self, words: list[str]) -> list[bytes]:
+        """The ids of words of Latin letters, all with a blank before them or none."""
         out: list[bytes] = []
-        joined = "" if self.byte_level else " "
         for at in range(0, len(words), 500):
             part = words[at:at + 500]
-            if self.byte_level and not blank:
+            if self.byte_level and part[0][0] != " ":
                 found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
                 out += [np.array(x.ids, "<u4").tobytes() for x in found]
                 continue
-            text = joined.join(blank + word for word in part)
+            text = ("" if self.byte_level else " ").join(part)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             edges = np.flatnonzero(self.edge[ids])
             cuts = np.append(edges, len(ids)) if self.byte_level else np.insert(edges + 1, 0, 0)
@@ -68,58 +71,76 @@ class Coder:
             out += [data[a:b] for a, b in zip(places, places[1:])]
         return out
 
-    def learn(self, words: set[str], known: dict[str, bytes], blank: str) -> None:
-        """Put the ids of ``words`` in ``known``."""
-        plain, bodies, ends, odd = [], [], [], []
-        for word in words:
-            match = _WORD.fullmatch(word)
-            if match is None:
-                odd.append(word)
-            else:
-                plain.append(word)
-                bodies.append(match[1] if self.byte_level else match[1].lower())
-                ends.append(match[2])
-        new = list(set(bodies).difference(known))
-        known.update(zip(new, self._many(new, blank)))
-        marks = {mark: self.plain(mark) if mark else b"" for mark in set(ends)}
-        known.update((word, known[body] + marks[end]) for word, body, end in zip(plain, bodies, ends) if word != body)
-        known.update((word, self.plain(blank + word)) for word in odd)
+    def _learn(self, words: set[str]) -> None:
+        """Put the ids of ``words``, none of which is known, in ``known``."""
+        known, older = self.known, self.older
+        if "\n" in words:
+            words.remove("\n")
+            known["\n"] = self.plain("\n")
+        found = _WORDS.findall("\n".join(words))
+        bodies = {body if self.byte_level else body.lower() for body, _ in found}
+        bodies.difference_update(known)
+        back = [body for body in bodies if body in older]
+        known.update([(body, older[body]) for body in back])
+        bodies.difference_update(back)
+        for blank in (True, False):
+            new = [body for body in bodies if (body[0] == " ") == blank]
+            known.update(zip(new, self._many(new)))
+        marks = {mark: self.plain(mark) if mark else b"" for mark in {end for _, end in found}}
+        if self.byte_level:
+            known.update([(body + end, known[body] + marks[end]) for body, end in found if end])
+        else:
+            known.update([(body + end, known[body.lower()] + marks[end]) for body, end in found])
+        if len(found) < len(words):
+            known.update([(word, self.plain(word)) for word in words.difference([body + end for body, end in found])])
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        found = list(map(self.known.get, pieces))
+        lost = [place for place, ids in enumerate(found) if ids is None]
+        if lost:
+            if len(self.known) + len(lost) > REMEMBERED // 2:
+                self.known, self.older = {piece: ids for piece, ids in zip(pieces, found) if ids is not None}, self.known
+            missing = {pieces[place] for place in lost}
+            back = [piece for piece in missing if piece in self.older]
+            self.known.update([(piece, self.older[piece]) for piece in back])
+            missing.difference_update(back)
+            self._learn(missing)
+            for place in lost:
+                found[place] = self.known[pieces[place]]
+        return found
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The pieces of a text, or nothing where it has to be encoded as it stands."""
+        if not text or "<|" in text or _CUT in text:
+            return None
+        if not self.byte_level:
+            return None if _CONTROL.search(text) else text.split()
+        pieces = text.replace(" ", _CUT + " ").replace("\n", f"{_CUT}\n{_CUT}").split(_CUT)
+        # each piece is one word: none is empty, and there are as many as white space of any kind makes
+        single = len(pieces) - text.count("\n") == len(text.split())
+        return pieces if single and "" not in pieces and " " not in pieces else None
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        return self._byte_level(texts) if self.byte_level else self._word_ends(texts)
-
-    def _word_ends(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _CONTROL.search(text) or "<|" in text else text.split() for text in texts]
-        self._learn_of([words for words in cut if words], self.inner, "")
-        get = self.inner.__getitem__
-        return [self.plain(text) if words is None else b"".join(map(get, words)) for text, words in zip(texts, cut)]
-
-    def _byte_level(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[list[str]] | None] = []
-        for text in texts:
-            lines = [line.split(" ") for line in text.split("\n")]
-            # each piece is one word: none is empty, and there are as many as white space of any kind makes
-            single = all(map(all, lines)) and sum(map(len, lines)) == len(text.split())
-            cut.append(lines if single and "<|" not in text else None)
-        self._learn_of([line[1:] for lines in cut if lines for line in lines], self.inner, " ")
-        self._learn_of([line[:1] for lines in cut if lines for line in lines], self.first, "")
-        inner, first = self.inner.__getitem__, self.first.__getitem__
-        out = []
-        for text, lines in zip(texts, cut):
-            if lines is None:
+        cut = [self._cut(text) for text in texts]
+        words = pa.array([piece for pieces in cut if pieces for piece in pieces], pa.string()).dictionary_encode()
+        found = self._ids(words.dictionary.to_pylist())
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        codes = words.indices.to_numpy()
+        each, starts = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+        ends = np.cumsum(each)
+        joined = ids[np.repeat(starts - (ends - each), each) + np.arange(each.sum())]
+        ends = np.append(0, ends)
+        out, at = [], 0
+        for text, pieces in zip(texts, cut):
+            if pieces is None:
                 out.append(self.plain(text) if text else b"")
             else:
-                out.append(self.newline.join(first(line[0]) + b"".join(map(inner, line[1:])) for line in lines))
+                out.append(joined[ends[at]:ends[at + len(pieces)]].tobytes())
+                at += len(pieces)
         return out
 
-    def _learn_of(self, lists: list[list[str]], known: dict[str, bytes], blank: str) -> None:
-        words: set[str] = set()
-        words.update(*lists)
-        if len(words) + len(known) > REMEMBERED and len(words - known.keys()) + len(known) > REMEMBERED:
-            known.clear()
-        words.difference_update(known)
-        self.learn(words, known, blank)
-
 
 def coder(path: str) -> Coder:
     if path not in _coders:
@@ -138,7 +159,7 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def by_size(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
+def by_size(texts: list[str], most: int = 4_000_000) -> Iterator[list[str]]:
     """Runs of texts of about ``most`` characters."""
     part, size = [], 0
     for text in texts:
