@@ -1,10 +1,11 @@
-"""Token ids of whole texts, encoding each distinct word once per Python worker.
-
-Both tokenizers cut a text into words before they merge, and no word's ids depend on its neighbours. So a
-text is cut at white space where that is certain to be a word boundary, the distinct words of many texts are
-looked up, and the ids are put together in one go. New words of Latin letters go to the tokenizer in one string, as the
-tokens that start or end a word show where each one's ids begin. Whatever is not plain (runs of blanks, other
-scripts, special tokens' strings, digits) is encoded as it stands. Tests compare all this with encoding whole texts.
+"""Token ids of whole texts, encoding each distinct word of many texts once.
+
+Both tokenizers cut a text into words before they merge, and no word's ids depend on its neighbours. So texts are cut
+at white space where that is certain to be a word boundary, and what follows a word as a token of its own is parted from
+it. The distinct words of Latin letters go to the tokenizer in long strings, as the tokens that start or end a word
+show where each one's ids begin; the ids are then put together by place. Nothing is kept between calls, so memory
+follows from the size of a call (``by_size``). Whatever is not plain (runs of blanks, other scripts, special tokens'
+strings, digits) is encoded as it stands. Tests compare all this with encoding whole texts.
 """
 
 from __future__ import annotations
@@ -15,15 +16,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Words a worker remembers; the memory bound. They are kept in two generations: when the younger is full it becomes the
-#: older one, and what is not used again by then is forgotten.
-REMEMBERED = 600_000
-
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
-#: A word, with the blank before it, and what may follow it as a token of its own.
-_WORDS = re.compile(f"^( ?[{_LETTERS}]+)([.,;:!?|#$%&*]*)$", re.MULTILINE)
+#: A word, with the blank before it, and what follows it as a token of its own; or any other piece.
+_WORDS = re.compile(f"^( ?[{_LETTERS}]+)([.,;:!?|#$%&*]*)$|^(.+)$", re.MULTILINE)
 #: Stands between pieces while a text is cut.
 _CUT = "\x1f"
 #: Python cuts at these, the tokenizers don't.
@@ -31,6 +29,14 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 _coders: dict[str, "Coder"] = {}
 
 
+def _gathered(ids: np.ndarray, sizes: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of units in the given order, and where each ends; ``sizes`` are the units' numbers of ids."""
+    each = sizes[units]
+    ends = np.cumsum(each)
+    shift = (np.cumsum(sizes) - sizes)[units] - (ends - each)
+    return ids[np.repeat(shift, each) + np.arange(len(shift) and ends[-1])], ends
+
+
 class Coder:
     """``encode_all(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -46,69 +52,53 @@ class Coder:
         self.edge = np.zeros(size, bool)
         for token, number in vocabulary.items():
             self.edge[number] = token.startswith("Ġ") if self.byte_level else token.endswith("</w>")
-        #: Ids of pieces: words as they stand in a text, for the byte-level kind with the blank before them, and the line end.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _many(self, words: list[str]) -> list[bytes]:
-        """The ids of words of Latin letters, all with a blank before them or none."""
-        out: list[bytes] = []
+    def _each(self, pieces: list[str]) -> list[np.ndarray]:
+        """The ids of pieces, one by one."""
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False) if pieces else []
+        return [np.array(x.ids, "<u4") for x in found]
+
+    def _strung(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The ids of words of Latin letters, for the byte-level kind each with a blank before it, and each word's number of them."""
+        ids, sizes = [], []
         for at in range(0, len(words), 500):
             part = words[at:at + 500]
-            if self.byte_level and part[0][0] != " ":
-                found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                out += [np.array(x.ids, "<u4").tobytes() for x in found]
-                continue
             text = ("" if self.byte_level else " ").join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            edges = np.flatnonzero(self.edge[ids])
-            cuts = np.append(edges, len(ids)) if self.byte_level else np.insert(edges + 1, 0, 0)
+            ids.append(np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"))
+            edges = np.flatnonzero(self.edge[ids[-1]])
+            cuts = np.append(edges, len(ids[-1])) if self.byte_level else np.insert(edges + 1, 0, 0)
             assert len(cuts) == len(part) + 1
-            data, places = ids.tobytes(), (cuts * 4).tolist()
-            out += [data[a:b] for a, b in zip(places, places[1:])]
-        return out
-
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of ``words``, none of which is known, in ``known``."""
-        known, older = self.known, self.older
-        if "\n" in words:
-            words.remove("\n")
-            known["\n"] = self.plain("\n")
-        found = _WORDS.findall("\n".join(words))
-        bodies = {body if self.byte_level else body.lower() for body, _ in found}
-        bodies.difference_update(known)
-        back = [body for body in bodies if body in older]
-        known.update([(body, older[body]) for body in back])
-        bodies.difference_update(back)
-        for blank in (True, False):
-            new = [body for body in bodies if (body[0] == " ") == blank]
-            known.update(zip(new, self._many(new)))
-        marks = {mark: self.plain(mark) if mark else b"" for mark in {end for _, end in found}}
-        if self.byte_level:
-            known.update([(body + end, known[body] + marks[end]) for body, end in found if end])
-        else:
-            known.update([(body + end, known[body.lower()] + marks[end]) for body, end in found])
-        if len(found) < len(words):
-            known.update([(word, self.plain(word)) for word in words.difference([body + end for body, end in found])])
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces."""
-        found = list(map(self.known.get, pieces))
-        lost = [place for place, ids in enumerate(found) if ids is None]
-        if lost:
-            if len(self.known) + len(lost) > REMEMBERED // 2:
-                self.known, self.older = {piece: ids for piece, ids in zip(pieces, found) if ids is not None}, self.known
-            missing = {pieces[place] for place in lost}
-            back = [piece for piece in missing if piece in self.older]
-            self.known.update([(piece, self.older[piece]) for piece in back])
-            missing.difference_update(back)
-            self._learn(missing)
-            for place in lost:
-                found[place] = self.known[pieces[place]]
-        return found
+            sizes.append(np.diff(cuts))
+        return ids, sizes
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces, one after the other, and each piece's number of them."""
+        if "\n" in pieces:
+            pieces[pieces.index("\n")] = _CUT
+        found = _WORDS.findall("\n".join(pieces)) if pieces else []
+        assert len(found) == len(pieces)
+        bodies, marks, odd = (pa.array(part, pa.string()) for part in zip(*found)) if found else [pa.array([], pa.string())] * 3
+        is_odd = pc.binary_length(odd).to_numpy() > 0
+        marks, odd = marks.dictionary_encode(), odd.dictionary_encode()
+        bodies = (bodies if self.byte_level else pc.utf8_lower(bodies)).dictionary_encode()
+        names = bodies.dictionary.to_pylist()
+        strung = np.array([not self.byte_level or name.startswith(" ") for name in names], bool) & np.array([*map(bool, names)], bool)
+        ids, sizes = self._strung([name for name, one in zip(names, strung) if one])
+        alone = [name for name, one in zip(names, strung) if not one] + marks.dictionary.to_pylist() + [
+            "\n" if other == _CUT else other for other in odd.dictionary.to_pylist()]
+        rest = self._each(alone)
+        sizes = np.concatenate([*sizes, [len(x) for x in rest]]).astype(np.int64)
+        # units: strung bodies, other bodies, marks, odd pieces; a piece has a body or is odd
+        place = np.empty(len(names), np.int64)
+        place[strung], place[~strung] = np.arange(strung.sum()), strung.sum() + np.arange((~strung).sum())
+        body, mark, other = (x.indices.to_numpy() for x in (bodies, marks, odd))
+        units = np.stack([np.where(is_odd, len(names) + len(marks.dictionary) + other, place[body] if len(names) else body),
+                          len(names) + mark], 1)
+        each = sizes[units]
+        return _gathered(np.concatenate([*ids, *rest, np.zeros(0, "<u4")]), sizes, units.ravel())[0], each.sum(1)
 
     def _cut(self, text: str) -> list[str] | None:
         """The pieces of a text, or nothing where it has to be encoded as it stands."""
@@ -124,13 +114,8 @@ class Coder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(text) for text in texts]
         words = pa.array([piece for pieces in cut if pieces for piece in pieces], pa.string()).dictionary_encode()
-        found = self._ids(words.dictionary.to_pylist())
-        ids = np.frombuffer(b"".join(found), "<u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        codes = words.indices.to_numpy()
-        each, starts = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
-        ends = np.cumsum(each)
-        joined = ids[np.repeat(starts - (ends - each), each) + np.arange(each.sum())]
+        ids, sizes = self._ids(words.dictionary.to_pylist())
+        joined, ends = _gathered(ids, sizes, words.indices.to_numpy())
         ends = np.append(0, ends)
         out, at = [], 0
         for text, pieces in zip(texts, cut):
@@ -149,7 +134,7 @@ def coder(path: str) -> Coder:
 
 
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to ids; the tokenizer is read and words are remembered per worker process."""
+    """A function from texts to ids; the tokenizer is read once per worker process."""
     return lambda texts: coder(path).encode_all(texts)
 
 
@@ -159,7 +144,7 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def by_size(texts: list[str], most: int = 4_000_000) -> Iterator[list[str]]:
+def by_size(texts: list[str], most: int = 8_000_000) -> Iterator[list[str]]:
     """Runs of texts of about ``most`` characters."""
     part, size = [], 0
     for text in texts:
