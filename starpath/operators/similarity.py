@@ -2,23 +2,28 @@
 
 Cosine over whole rating vectors, for item pairs with at least ``min_support`` common users.
 
-The direct way joins ratings with themselves by user, which costs the square of a user's ratings.
-Here users with more than ``heavy`` ratings are treated by the prefix rule of set-similarity joins:
-order users from the most to the least active and leave out the first ``min_support - 1`` heavy
-raters of each item. Two items with ``min_support`` common users still share a user that neither
-left out: of their common users take the least active; at least ``min_support - 1`` others come
-before it in both items. So
-
-1. the ratings left in find every pair that can qualify, without the busiest users,
-2. the few ratings left out (at most ``min_support - 1`` per item) are then added for the pairs found:
-   from the two items' lists where both left the user out, else by a lookup of (user, item).
+The direct way joins ratings with themselves by user, which costs the square of a user's ratings, and sums far more
+pairs than qualify. Two bounds keep pairs from being made:
+
+1. Signatures. Each item has the set of its raters' places, hashed to ``PLACES``. Items cannot have more common
+   users than common places, plus the users that the item with fewer clashes loses to clashes. A pair
+   below ``min_support`` by this bound never leaves the task that sees a common user.
+2. Prefixes, for users with more than ``heavy`` ratings. Order users from the most to the least active and leave
+   out the first ``min_support - 1`` heavy raters of each item. Two items with ``min_support`` common users
+   still share a user that neither left out: of their common users take the least active; at least
+   ``min_support - 1`` others come before it in both items. The few ratings left out are then added for the pairs
+   found: from the two items' lists where both left the user out, else by a lookup of (user, item).
 
 Users left in after that are cut into blocks of ``heavy`` ratings, so no task sees more than one
-block against another, and equal pairs are summed before they are shuffled.
+block against another. All tables go this one way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +31,11 @@ from pyspark.sql import functions as F
 from starpath.operators.skew import salted_join
 from starpath.session import cut_lineage
 
+#: Places of a signature; a multiple of 64. It sets how many pairs are ruled out and changes no result.
+PLACES = 4096
+#: Members whose signatures are held at once, and comparisons made at once.
+_MEMBERS, _AT_ONCE = 8192, 4096
+
 
 def rating_cells(ratings: DataFrame) -> DataFrame:
     """One row per (user, item): the mean of its ratings."""
@@ -56,57 +66,88 @@ def item_pairs(ratings: DataFrame, min_support: int = 3, heavy: int = 1000) -> D
     """``(item_a, item_b, similarity, support)`` for every pair with ``min_support`` common users, ``item_a < item_b``."""
     cells = cut_lineage(_unit_cells(cut_lineage(rating_cells(ratings)), min_support))
     activity = cells.groupBy("user_id").agg(F.count("*").alias("activity"))
-    busiest = activity.agg(F.max("activity")).first()[0] or 0
-    if busiest <= heavy:
-        found = _common(cells.withColumn("_blocks", F.lit(1)))
-    else:
-        found = _with_heavy_users(cells, activity, min_support, heavy)
-    return found.filter(F.col("support") >= min_support).withColumnRenamed("dot", "similarity")
-
-
-def _unit_cells(cells: DataFrame, min_support: int) -> DataFrame:
-    """Ratings scaled so that each item's vector has length 1; items with too few raters cannot qualify."""
-    lengths = (
-        cells.groupBy("item_id")
-        .agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("_length"), F.count("*").alias("_raters"))
-        .filter((F.col("_raters") >= min_support) & (F.col("_length") > 0))
-    )
-    return salted_join(cells, lengths, "item_id", "user_id").select(
-        "user_id", "item_id", (F.col("rating") / F.col("_length")).alias("weight"))
-
-
-def _with_heavy_users(cells: DataFrame, activity: DataFrame, min_support: int, heavy: int) -> DataFrame:
-    ranked = salted_join(cells, activity, "user_id", "item_id").withColumn(
-        "_blocks", F.ceil(F.col("activity") / heavy).cast("int"))
+    ranked = salted_join(cells, activity.filter(F.col("activity") > heavy), "user_id", "item_id", "left")
     first = W.partitionBy("item_id").orderBy(F.desc("activity"), "user_id")
     left_out = cut_lineage(
-        ranked.filter(F.col("activity") > heavy)
+        ranked.filter("activity is not null")
         .withColumn("_place", F.row_number().over(first))
         .filter(F.col("_place") <= min_support - 1)
         .select("user_id", "item_id", "weight")
     )
-    left_in = ranked.join(left_out.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    return _with_left_out(cut_lineage(_common(left_in)), left_out, cells, min_support)
+    left_in = ranked.join(left_out.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").withColumn(
+        "_blocks", F.coalesce(F.ceil(F.col("activity") / heavy).cast("int"), F.lit(1)))
+    found = cut_lineage(_common(left_in, min_support))
+    return _with_left_out(found, left_out, cells, min_support).filter(
+        F.col("support") >= min_support).withColumnRenamed("dot", "similarity")
+
+
+def _unit_cells(cells: DataFrame, min_support: int) -> DataFrame:
+    """Ratings scaled so that each item's vector has length 1, with its signature; items with too few raters cannot qualify."""
+    items = (
+        cells.groupBy("item_id")
+        .agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("_length"), F.count("*").alias("raters"),
+             F.collect_set(F.pmod(F.xxhash64("user_id"), F.lit(PLACES)).cast("short")).alias("places"))
+        .filter((F.col("raters") >= min_support) & (F.col("_length") > 0))
+    )
+    return salted_join(cells, items, "item_id", "user_id").select(
+        "user_id", "item_id", (F.col("rating") / F.col("_length")).alias("weight"), "places",
+        (F.col("raters") - F.size("places")).alias("clashes"))
 
 
-def _common(cells: DataFrame) -> DataFrame:
-    """Sums over common users, block against block: a pair of items meets in exactly one cell per user.
+def _common(cells: DataFrame, min_support: int) -> DataFrame:
+    """Sums over common users of the pairs that can have ``min_support`` of them, block against block.
 
-    Only cells with the lower block on the left exist; there an item of the left block meets all of the
-    right one, and within a block the lower item meets the higher ones.
+    A pair of items meets in exactly one pair of blocks per user.
     """
-    own = F.pmod(F.xxhash64("item_id"), F.col("_blocks")).cast("int")
-    blocked = cells.select("user_id", "item_id", "weight", "_blocks", own.alias("_own"))
-    left = blocked.select(
-        "user_id", F.col("_own").alias("_a"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("_b"),
-        F.col("item_id").alias("item_a"), F.col("weight").alias("_weight_a"))
-    right = blocked.select(
-        "user_id", F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_a"), F.col("_own").alias("_b"),
-        F.col("item_id").alias("item_b"), F.col("weight").alias("_weight_b"))
-    met = left.join(right, ["user_id", "_a", "_b"]).filter(
-        (F.col("_a") < F.col("_b")) | (F.col("item_a") < F.col("item_b")))
-    return met.groupBy(F.least("item_a", "item_b").alias("item_a"), F.greatest("item_a", "item_b").alias("item_b")).agg(
-        F.sum(F.col("_weight_a") * F.col("_weight_b")).alias("dot"), F.count("*").alias("support"))
+    part = F.pmod(F.xxhash64("item_id"), F.col("_blocks")).cast("int")
+    dealt = cells.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    member = F.struct(F.col("item_id").cast("bigint").alias("item_id"), "weight", "clashes", "part", "places")
+    lists = dealt.groupBy("user_id", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(
+        F.array_sort(F.collect_list(member)).alias("members")).select((F.col("i") != F.col("j")).alias("across"), "members")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column(1).offsets.to_numpy().astype(np.int64)
+            across = batch.column(0).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < batch.num_rows:
+                last = max(at + 1, int(np.searchsorted(ends, ends[at] + _MEMBERS, "right")) - 1)
+                yield _pairs(batch.column(1).slice(at, last - at), across[at:last], min_support)
+                at = last
+
+    return lists.mapInArrow(meet, "item_a long, item_b long, dot double").groupBy("item_a", "item_b").agg(
+        F.sum("dot").alias("dot"), F.count("*").alias("support"))
+
+
+def _pairs(lists: pa.ListArray, across: np.ndarray, min_support: int) -> pa.RecordBatch:
+    """The pairs of members of each list whose signatures allow ``min_support`` common users."""
+    members = lists.flatten()
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    ends = ends - ends[0]
+    items, weights, clashes, parts = (members.field(k).to_numpy() for k in ("item_id", "weight", "clashes", "part"))
+    places = members.field("places")
+    held = places.flatten().to_numpy().astype(np.int64)
+    rows = np.repeat(np.arange(len(members)), np.diff(places.offsets.to_numpy()))
+    signatures = np.zeros((len(members), PLACES // 64), np.uint64)
+    np.bitwise_or.at(signatures, (rows, held >> 6), np.uint64(1) << (held & 63).astype(np.uint64))
+    left, right = [], []
+    for start, end, mixed in zip(ends, ends[1:], across):
+        step = max(1, _AT_ONCE // max(1, end - start))
+        for x in range(start, end, step):
+            own = slice(x, min(end, x + step))
+            rest = slice(x, end)
+            common = np.bitwise_count(signatures[own, None] & signatures[None, rest]).sum(2, dtype=np.int64)
+            near = common + np.minimum(clashes[own, None], clashes[None, rest]) >= min_support
+            # members are in order of their item, so each pair once
+            near &= np.arange(own.start, own.stop)[:, None] < np.arange(x, end)[None]
+            if mixed:
+                near &= parts[own, None] != parts[None, rest]
+            a, b = np.nonzero(near)
+            left.append(a + x)
+            right.append(b + x)
+    a, b = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(items[a]), pa.array(items[b]), pa.array(weights[a] * weights[b])], names=["item_a", "item_b", "dot"])
 
 
 def _with_left_out(found: DataFrame, left_out: DataFrame, cells: DataFrame, min_support: int) -> DataFrame:
@@ -120,7 +161,7 @@ def _with_left_out(found: DataFrame, left_out: DataFrame, cells: DataFrame, min_
         F.map_from_entries(F.collect_list(F.struct("user_id", "weight"))).alias("_out"))
     first = lists.select(F.col("item_id").alias("item_a"), F.col("_out").alias("_out_a"))
     second = lists.select(F.col("item_id").alias("item_b"), F.col("_out").alias("_out_b"))
-    listed = salted_join(salted_join(found, first, "item_a", "item_b", "left"), second, "item_b", "item_a", "left")
+    listed = salted_join(cut_lineage(salted_join(found, first, "item_a", "item_b", "left")), second, "item_b", "item_a", "left")
     none = F.create_map().cast("map<bigint,double>")
     a, b = F.coalesce("_out_a", none), F.coalesce("_out_b", none)
     users_a, users_b = F.map_keys(a), F.map_keys(b)

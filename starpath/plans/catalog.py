@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from starpath.functions import numbers, text
 from starpath.operators import (
-    candidates, distincts, evaluation, foldin, ids, places, ranking, ratings as rating_ops, rejects, requests, similarity, skew,
+    candidates, datasets, distincts, evaluation, foldin, ids, places, ranking, ratings as rating_ops, rejects, requests, similarity, skew,
     stored, stores, sums, tallies, topk, toplists, words,
 )
 from starpath.plans import als, fixtures, serving
@@ -385,6 +385,31 @@ def als_served_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.count("is_rated").alias("n_rated"), F.count_if(right).alias("n_right"))
 
 
+def als_grid_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold for the grid search, whatever the models: sizes, one best setting, its improvement on the baseline."""
+    grid = cut_lineage(als.grid_search(fixtures.ratings(spark, folder)))
+    best = F.col("is_best")
+    error = F.max(F.when(best, F.col("rmse_all")))
+    gain = numbers.percent_improvement(F.max("baseline_rmse"), F.max("test_rmse"))
+    return grid.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("rank", "reg", "iterations").alias("n_settings"),
+        F.count_if(best).alias("n_best"), F.count("test_rmse").alias("n_tested"), F.count("rmse_scored").alias("n_scored"),
+        (error == F.min("rmse_all")).alias("best_is_least"),
+        (F.abs(gain - F.max("improvement_pct")) < 1e-9).alias("gain_fits"),
+        F.round(F.max("baseline_rmse"), 6).alias("baseline_rmse"))
+
+
+def kept_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Two uses of one kept set of ratings, spread over partitions; released before the result is read."""
+    def build(session: SparkSession, path: str) -> DataFrame:
+        return datasets.keep(datasets.spread(fixtures.ratings(session, path), 16, "user_id"))
+
+    with datasets.Datasets() as shared:
+        whole = cut_lineage(rating_ops.summary(shared.get(build, spark, folder)))
+        most = shared.get(build, spark, folder).groupBy("user_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return whole.withColumn("most_of_a_user", F.lit(most).cast("bigint"))
+
+
 def toplist_load(spark: SparkSession, folder: str) -> DataFrame:
     """The load job end to end: packed lines as text files, parsed into the store table, read back."""
     run = run_folder(spark, "toplist")
@@ -461,6 +486,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fold_in_users, fold_in_top, stream_scores, als_served_rows,
         distinct_rollup, rating_cap_by_user, rating_cap_stream, baseline_kept, stored_summary, toplist_lookup_files, rating_reject_rows,
         toplist_load_rejects, ratings_load_rejects,
-        als_recommend, als_recommend_rows, als_grid, stream_requests, toplist_load, ratings_load, ratings_of_slice, ratings_of_season,
+        als_recommend, als_recommend_rows, als_grid, als_grid_rows, kept_summary, stream_requests, toplist_load, ratings_load, ratings_of_slice, ratings_of_season,
     )
 }

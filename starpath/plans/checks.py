@@ -195,6 +195,16 @@ CHECKS: dict[str, str] = {
         SELECT season, state, count(*) AS n_ratings, count(DISTINCT user_id) AS n_users,
                count(DISTINCT item_id) AS n_items
         FROM sliced GROUP BY season, state""",
+    "kept_summary": f"""WITH {_RATINGS}
+        SELECT count(*) AS n_ratings, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items,
+               (SELECT max(n) FROM (SELECT count(*) AS n FROM ratings GROUP BY user_id)) AS most_of_a_user
+        FROM ratings""",
+    "als_grid_rows": f"""WITH {_RATINGS}, {_SPLIT},
+        overall AS (SELECT avg(rating) AS mean_rating FROM split_ratings WHERE split <> 'test')
+        SELECT CAST(8 AS BIGINT) AS n_rows, CAST(8 AS BIGINT) AS n_settings, CAST(1 AS BIGINT) AS n_best, CAST(1 AS BIGINT) AS n_tested,
+               CAST(8 AS BIGINT) AS n_scored, TRUE AS best_is_least, TRUE AS gain_fits,
+               round(sqrt(avg((mean_rating - rating) ** 2)), 6) AS baseline_rmse
+        FROM split_ratings CROSS JOIN overall WHERE split = 'test'""",
     "distinct_rollup": f"""WITH {_PLACES}, {_RATINGS}, {_SLICED}
         SELECT season, state, count(*) AS n_rows, count(DISTINCT user_id) AS n_user_id, count(DISTINCT item_id) AS n_item_id
         FROM sliced GROUP BY GROUPING SETS ((season, state), (season), ())""",

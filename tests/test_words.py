@@ -23,9 +23,9 @@ def test_letter_filter_reaches_below_the_aggregate(spark):
     assert "TakeOrderedAndProject" in physical
 
 
-def test_range_sum(spark):
-    assert sums.range_sum(spark, 100_000).first().total == 4_999_950_000
-    assert sums.range_sum(spark, 0).first().total == 0
+def test_column_sum(spark):
+    assert sums.column_sum(spark.range(100_000), "id").first().total == 4_999_950_000
+    assert sums.column_sum(spark.range(0), "id").first().total == 0
 
 
 def test_sums_do_not_overflow(spark):
