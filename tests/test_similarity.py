@@ -9,6 +9,9 @@ from itertools import combinations
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from starpath.operators import similarity
 from starpath.operators.similarity import item_pairs, similar_items
 
 SCHEMA = "user_id bigint, item_id bigint, rating double"
@@ -72,3 +75,14 @@ def test_lists_are_symmetric_ranked_and_without_the_item_itself(spark):
 def test_equal_vectors_have_similarity_one(spark):
     rows = [(user, item, float(user + 1)) for user in range(3) for item in (1, 2)]
     assert item_pairs(spark.createDataFrame(rows, SCHEMA)).first().similarity == pytest.approx(1.0)
+
+
+def test_pairs_that_cannot_qualify_are_not_made(spark):
+    rng = random.Random(2)
+    rows = [(user, item, 3.0) for user in range(300) for item in rng.sample(range(600), 20)]
+    cells = similarity.rating_cells(spark.createDataFrame(rows, SCHEMA))
+    met = similarity._common(similarity._unit_cells(cells, 3).withColumn("_blocks", F.lit(1)), 3)
+    every = 300 * 20 * 19 // 2
+    made = met.agg(F.sum("support")).first()[0]
+    assert made < every / 4
+    assert {(r.item_a, r.item_b) for r in met.filter("support >= 3").collect()} == set(brute_force(rows, 3))
