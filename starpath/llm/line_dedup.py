@@ -7,10 +7,9 @@ variable; otherwise it starts a template. A template that occurs in at least ``L
 with more than ``LONG_WORDS`` words in two, is recurring. Its lines stay in the first document that has it and are dropped from all others.
 
 Distinct lines are counted before they meet in a leaf, so a line that a third of all documents have is one
-row there. For the comparison a line is kept as one byte of hash per word. A leaf with more than
-``LEAF_LINES`` distinct lines is parted by its lines' next words, then by line, so a task's share is bounded.
-The parts' templates of such a leaf are merged in ``ROUNDS`` further rounds before their documents are judged:
-all together once there are few enough, else parted by another stretch of their words in each round.
+row there. For the comparison a line is kept as one byte of hash per word. Each leaf is grown whole, whatever
+its size, so that the templates do not depend on how large the input is; its lines stream through one task
+in order, which keeps only the templates' bytes.
 """
 
 from __future__ import annotations
@@ -32,7 +31,6 @@ LEAST_DOCS = 3
 LONG_WORDS = 50
 LEAST_WORDS = 3
 LEAF_LINES = 2000
-ROUNDS = 4
 
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,93 +90,71 @@ def parsed_lines(docs: DataFrame, id_column: str, text: str, least_words: int =
         parse, f"id {kind}, text_hash long, place int, leaf long, line long, first boolean, words binary")
 
 
-def _parted(lines: DataFrame, by, limit: int) -> DataFrame:
-    """Leaves of more than ``limit`` lines are cut into smaller ones by ``by``."""
-    sizes = lines.groupBy("leaf").agg(F.count("*").alias("size")).filter(F.col("size") > limit)
-    sizes = written(sizes, "crowded-leaves")
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    if not total:
-        return lines
-    part = F.pmod(F.xxhash64(by), F.ceil(F.col("size") / limit))
-    return hot_join(lines, sizes, "leaf", "size", F.col("line"), total).withColumn(
-        "leaf", F.when(F.col("size").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", part))).drop("size")
-
-
-def grown(entries: DataFrame, id_kind: str, similar: float = SIMILAR) -> DataFrame:
-    """``whole, line, template, docs, first_id, words, fixed, occurrences, leads``: each entry with its template.
+def templates(lines: DataFrame, id_kind: str, similar: float = SIMILAR, least_docs: int = LEAST_DOCS,
+              leaf_lines: int = LEAF_LINES) -> DataFrame:
+    """``line, first_id, occurrences``: the lines of recurring templates, from the distinct lines.
 
-    An entry is a line or, with ``fixed``, a template; those of one ``leaf`` are compared. ``docs``,
-    ``first_id``, ``words`` and ``fixed`` are the template's, whose first entry ``leads``.
+    Every leaf is grown whole, whatever its size: its lines arrive in order of ``docs`` descending, then
+    ``line``, and a task keeps only the templates' word bytes and members of the leaf it is in.
+    ``leaf_lines`` only tells how many lines to emit at a time.
     """
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        leaf = None
+        words = fixed = None
+        members: list[list[int]] = []
+        rows: list[tuple] = []
+
+        def flush() -> None:
+            for found in members:
+                docs = sum(rows[i][1] for i in found)
+                first = min((rows[i][2] for i in found if rows[i][2] is not None), default=None)
+                if docs >= (min(2, least_docs) if words.shape[1] > LONG_WORDS else least_docs):
+                    out.extend((rows[i][0], first, rows[i][3]) for i in found)
+
         for batch in batches:
-            out: list[tuple] = []
-            for group in batch.column(0).to_pylist():
-                group.sort(key=lambda x: (-x["docs"], x["line"]))
-                size = len(group[0]["words"])
-                words = np.zeros((len(group), size), np.uint8)
-                fixed = np.zeros((len(group), size), bool)
-                members: list[list[dict]] = []
-                for entry in group:
-                    own = np.frombuffer(entry["words"], np.uint8)
-                    mask = np.ones(size, bool) if entry["fixed"] is None else np.frombuffer(entry["fixed"], np.bool_)
-                    n = len(members)
-                    if n:
-                        agree = ((words[:n] == own) & fixed[:n] & mask).sum(1)
-                        best = int(np.argmax(agree))
-                        if agree[best] >= similar * size:
-                            fixed[best] &= (words[best] == own) & mask
-                            members[best].append(entry)
-                            continue
-                    words[n], fixed[n] = own, mask
-                    members.append([entry])
-                for k, found in enumerate(members):
-                    docs = sum(x["docs"] for x in found)
-                    first = min((x["first_id"] for x in found if x["first_id"] is not None), default=None)
-                    shown, mask = (words[k] * fixed[k]).tobytes(), fixed[k].tobytes()
-                    out += [(x["whole"], x["line"], found[0]["line"], docs, first, shown, mask, x["occurrences"], x is found[0])
-                            for x in found]
-            columns = list(zip(*out)) or [[]] * len(fields)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], names=[f.name for f in fields])
+            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            for at, (key, line, docs, first_id, own, occurrences) in enumerate(zip(*columns)):
+                own = np.frombuffer(own, np.uint8)
+                if key != leaf or len(own) != words.shape[1]:
+                    if leaf is not None:
+                        flush()
+                    leaf, members, rows = key, [], []
+                    words = np.zeros((64, len(own)), np.uint8)
+                    fixed = np.zeros((64, len(own)), bool)
+                rows.append((line, docs, first_id, occurrences))
+                n = len(members)
+                if n:
+                    agree = ((words[:n] == own) & fixed[:n]).sum(1)
+                    best = int(np.argmax(agree))
+                    if agree[best] >= similar * len(own):
+                        fixed[best] &= words[best] == own
+                        members[best].append(len(rows) - 1)
+                        continue
+                if n == len(words):
+                    words = np.concatenate([words, np.zeros_like(words)])
+                    fixed = np.concatenate([fixed, np.zeros_like(fixed)])
+                words[n], fixed[n] = own, True
+                members.append([len(rows) - 1])
+            if len(out) >= leaf_lines:
+                yield _emitted(out, fields)
+                out.clear()
+        if leaf is not None:
+            flush()
+        if out:
+            yield _emitted(out, fields)
 
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    fields = [pa.field("whole", pa.int64()), pa.field("line", pa.int64()), pa.field("template", pa.int64()),
-              pa.field("docs", pa.int64()), pa.field("first_id", kinds.get(id_kind, pa.int64())),
-              pa.field("words", pa.binary()), pa.field("fixed", pa.binary()), pa.field("occurrences", pa.int64()),
-              pa.field("leads", pa.bool_())]
-    entry = F.struct("whole", "line", "docs", "first_id", "words", "fixed", "occurrences")
-    return entries.groupBy("leaf").agg(F.collect_list(entry).alias("entries")).select("entries").mapInArrow(
-        grow, f"whole long, line long, template long, docs long, first_id {id_kind}, words binary, fixed binary, "
-              "occurrences long, leads boolean")
+    fields = [pa.field("line", pa.int64()), pa.field("first_id", kinds.get(id_kind, pa.int64())),
+              pa.field("occurrences", pa.int64())]
+    ordered = lines.select("leaf", "line", "docs", "first_id", "words", "occurrences").repartition("leaf")
+    return ordered.sortWithinPartitions("leaf", F.desc("docs"), "line").mapInArrow(
+        grow, f"line long, first_id {id_kind}, occurrences long")
 
 
-def templates(lines: DataFrame, id_kind: str, similar: float = SIMILAR, least_docs: int = LEAST_DOCS,
-              leaf_lines: int = LEAF_LINES) -> DataFrame:
-    """``line, first_id, occurrences``: the lines of recurring templates, from the distinct lines."""
-    recurring = F.col("docs") >= F.when(F.length("words") > LONG_WORDS, min(2, least_docs)).otherwise(least_docs)
-    entries = lines.withColumns({"whole": F.col("leaf"), "fixed": F.lit(None).cast("binary")})
-    sizes = written(lines.groupBy("leaf").agg(F.count("*").alias("size"), F.sum("docs").alias("leaf_docs")).filter(
-        F.col("size") > leaf_lines), "large-leaves")
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    if not total:
-        return grown(entries, id_kind, similar).filter(recurring).select("line", "first_id", "occurrences")
-    marked = hot_join(entries, sizes, "leaf", "size", F.col("line"), total)
-    calm = grown(marked.filter("size is null").drop("size", "leaf_docs"), id_kind, similar).filter(recurring)
-    crowded = marked.filter("size is not null").drop("size", "leaf_docs")
-    next_words = F.substring("words", DEPTH + 1, 8)
-    state = written(grown(_parted(_parted(crowded, next_words, leaf_lines), F.col("line"), leaf_lines), id_kind, similar), "grown-0")
-    assigned = state.select("line", "template", "occurrences")
-    for k in range(ROUNDS):
-        leading = state.filter("leads").select(
-            F.col("whole").alias("leaf"), "whole", F.col("template").alias("line"), "docs", "first_id", "words", "fixed", "occurrences")
-        width = f"cast(ceil((length(words) - {DEPTH}) / {ROUNDS}) as int)"
-        stretch = F.expr(f"substring(words, {DEPTH + 1} + {k} * {width}, {width})")
-        state = written(grown(_parted(_parted(leading, stretch, leaf_lines), F.col("line"), leaf_lines), id_kind, similar), f"grown-{k + 1}")
-        assigned = assigned.join(state.select(F.col("line").alias("template"), F.col("template").alias("_next")), "template").select(
-            "line", F.col("_next").alias("template"), "occurrences")
-    judged = state.filter("leads").filter(recurring).select("template", "first_id")
-    return calm.select("line", "first_id", "occurrences").unionByName(
-        assigned.join(judged, "template").select("line", "first_id", "occurrences"))
+def _emitted(out: list[tuple], fields: list[pa.Field]) -> pa.RecordBatch:
+    columns = list(zip(*out))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], names=[f.name for f in fields])
 
 
 def line_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similar: float = SIMILAR,

@@ -65,3 +65,13 @@ def test_long_passage_in_two_documents(spark):
     texts = [prose(k, 15) + "\n" + (nearly if k else passage) + "\nshort line in both" for k in range(2)]
     got = cleaned(line_dedup(documents(spark, texts)))
     assert got[0][0] == texts[0] and got[1][0] == prose(1, 15) + "\nshort line in both"
+
+
+def test_a_crowded_leaf_is_grown_whole(spark):
+    a = "alpha beta gamma delta epsilon zeta eta theta"
+    b = "alpha beta gamma delta epsilon zeta iota kappa"
+    c = "alpha beta gamma delta lambda mu eta theta"
+    frame = documents(spark, [a] * 4 + [b] * 2 + [c])
+    for limit in (1, 4, 2000):
+        got = cleaned(line_dedup(frame, leaf_lines=limit))
+        assert [got[k][2] for k in range(7)] == [0, 1, 1, 1, 1, 1, 0]
