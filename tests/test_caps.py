@@ -52,3 +52,19 @@ def test_an_idle_user_is_forgotten(spark, tmp_path):
     assert [r[:3] for r in got] == [(1, 1, 3), (2, 1, 1), (2, 2, 2)]
     got = run(spark, parts, tmp_path / "long", idle=timedelta(days=1))
     assert [r[:3] for r in got] == [(1, 1, 1), (1, 2, 3), (2, 1, 1), (2, 2, 2)]
+
+
+def test_users_are_taken_in_groups(spark, tmp_path, monkeypatch):
+    """The processor is called once per group and batch, however many users a group has, and gives only changed lists."""
+    monkeypatch.setattr(caps, "GROUPS", 2)
+    users = range(300)
+    parts = [[(user, 5, 1.0, "2024-02-01") for user in users], [(user, 4 if user % 3 else 9, 1.0, "2024-03-01") for user in users],
+             [(7, 1, 1.0, "2024-01-01")]]
+    got = run(spark, parts, tmp_path, cap=2)
+    expected = {user: [5, 4 if user % 3 else 9] for user in users} | {7: [1, 5]}
+    assert [(u, p, i) for u, p, i, *_ in got] == [(u, p, i) for u in users for p, i in enumerate(expected[u], 1)]
+    written = spark.read.parquet(f"{tmp_path}/out").groupBy("batch_id").agg(F.count_distinct("user_id").alias("n"))
+    assert {r.batch_id: r.n for r in written.collect()} == {0: 300, 1: 300, 2: 1}
+    state = [r for r in spark.read.format("statestore").option("path", f"{tmp_path}/progress").option(
+        "stateVarName", "ratings").load().collect()]
+    assert len(state) == 2
