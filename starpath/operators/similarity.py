@@ -29,10 +29,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starpath.operators.skew import salted_join
-from starpath.session import cut_lineage
+from starpath.session import set_down, together
 
 #: Places of a signature; a multiple of 64. It sets how many pairs are ruled out and changes no result.
 PLACES = 4096
+#: Bytes of signatures and ratings, about, that meet in a round.
+ROUND_BYTES = 2 << 30
 #: Members whose signatures are held at once, and comparisons made at once.
 _MEMBERS, _AT_ONCE = 8192, 4096
 
@@ -64,34 +66,64 @@ def similar_items(ratings: DataFrame, size: int = 10, min_support: int = 3, heav
 
 def item_pairs(ratings: DataFrame, min_support: int = 3, heavy: int = 1000) -> DataFrame:
     """``(item_a, item_b, similarity, support)`` for every pair with ``min_support`` common users, ``item_a < item_b``."""
-    cells = cut_lineage(_unit_cells(cut_lineage(rating_cells(ratings)), min_support))
+    rated = set_down(rating_cells(ratings), "rated")
+    items = set_down(_signatures(rated, min_support), "items")
+    cells = set_down(_weights(rated, items), "cells")
     activity = cells.groupBy("user_id").agg(F.count("*").alias("activity"))
     ranked = salted_join(cells, activity.filter(F.col("activity") > heavy), "user_id", "item_id", "left")
     first = W.partitionBy("item_id").orderBy(F.desc("activity"), "user_id")
-    left_out = cut_lineage(
+    left_out = set_down(
         ranked.filter("activity is not null")
         .withColumn("_place", F.row_number().over(first))
         .filter(F.col("_place") <= min_support - 1)
-        .select("user_id", "item_id", "weight")
+        .select("user_id", "item_id", "weight"), "out"
     )
     left_in = ranked.join(left_out.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").withColumn(
         "_blocks", F.coalesce(F.ceil(F.col("activity") / heavy).cast("int"), F.lit(1)))
-    found = cut_lineage(_common(left_in, min_support))
+    found = _found(left_in, items, min_support)
     return _with_left_out(found, left_out, cells, min_support).filter(
         F.col("support") >= min_support).withColumnRenamed("dot", "similarity")
 
 
-def _unit_cells(cells: DataFrame, min_support: int) -> DataFrame:
-    """Ratings scaled so that each item's vector has length 1, with its signature; items with too few raters cannot qualify."""
-    items = (
+def _signatures(cells: DataFrame, min_support: int) -> DataFrame:
+    """Each item's length and signature; items with too few raters cannot qualify."""
+    return (
         cells.groupBy("item_id")
         .agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("_length"), F.count("*").alias("raters"),
              F.collect_set(F.pmod(F.xxhash64("user_id"), F.lit(PLACES)).cast("short")).alias("places"))
         .filter((F.col("raters") >= min_support) & (F.col("_length") > 0))
     )
-    return salted_join(cells, items, "item_id", "user_id").select(
-        "user_id", "item_id", (F.col("rating") / F.col("_length")).alias("weight"), "places",
-        (F.col("raters") - F.size("places")).alias("clashes"))
+
+
+def _unit_cells(cells: DataFrame, min_support: int) -> DataFrame:
+    """Ratings scaled so that each item's vector has length 1, with its signature."""
+    items = _signatures(cells, min_support)
+    return _signed(_weights(cells, items), items)
+
+
+def _weights(cells: DataFrame, items: DataFrame) -> DataFrame:
+    """Ratings scaled so that each item's vector has length 1."""
+    return salted_join(cells, items.select("item_id", "_length"), "item_id", "user_id").select(
+        "user_id", "item_id", (F.col("rating") / F.col("_length")).alias("weight"))
+
+
+def _signed(cells: DataFrame, items: DataFrame) -> DataFrame:
+    """Each rating with its item's signature."""
+    return salted_join(cells, items.select("item_id", "places", (F.col("raters") - F.size("places")).alias("clashes")), "item_id", "user_id")
+
+
+def _found(left_in: DataFrame, items: DataFrame, min_support: int) -> DataFrame:
+    """The pairs' sums over common users. Each rating meets its item's signature, which is longer than the rating, so
+    where they would take more than ``ROUND_BYTES`` users go in rounds, and a round's leave the disk before the next."""
+    size = items.agg(F.sum(F.col("raters") * (2 * F.size("places") + 64))).first()[0] or 0
+    rounds = max(1, -(-size // ROUND_BYTES))
+    if rounds == 1:
+        return set_down(_common(_signed(set_down(left_in, "in"), items), min_support), "found")
+    place = F.pmod(F.xxhash64("user_id"), F.lit(rounds)).cast("int")
+    dealt = set_down(left_in.withColumn("round", place).repartition("round", F.pmod(F.xxhash64("item_id"), F.lit(8))), "rounds", by=("round",))
+    parts = [set_down(_common(_signed(dealt.filter(F.col("round") == k).drop("round"), items), min_support), "part") for k in range(rounds)]
+    return set_down(together(parts).groupBy("item_a", "item_b").agg(
+        F.sum("dot").alias("dot"), F.sum("support").alias("support")), "found")
 
 
 def _common(cells: DataFrame, min_support: int) -> DataFrame:
@@ -161,7 +193,7 @@ def _with_left_out(found: DataFrame, left_out: DataFrame, cells: DataFrame, min_
         F.map_from_entries(F.collect_list(F.struct("user_id", "weight"))).alias("_out"))
     first = lists.select(F.col("item_id").alias("item_a"), F.col("_out").alias("_out_a"))
     second = lists.select(F.col("item_id").alias("item_b"), F.col("_out").alias("_out_b"))
-    listed = salted_join(cut_lineage(salted_join(found, first, "item_a", "item_b", "left")), second, "item_b", "item_a", "left")
+    listed = salted_join(set_down(salted_join(found, first, "item_a", "item_b", "left")), second, "item_b", "item_a", "left")
     none = F.create_map().cast("map<bigint,double>")
     a, b = F.coalesce("_out_a", none), F.coalesce("_out_b", none)
     users_a, users_b = F.map_keys(a), F.map_keys(b)
@@ -178,7 +210,7 @@ def _with_left_out(found: DataFrame, left_out: DataFrame, cells: DataFrame, min_
                     + F.element_at("_out_a", user) * F.element_at("_out_b", user)).alias("dot"),
         (F.col("support") + F.size("_both")).alias("support"),
     )
-    settled = cut_lineage(settled)
+    settled = set_down(settled)
     asked = F.concat(
         F.transform("_only_a", lambda user: F.struct(
             user.alias("user_id"), F.element_at("_out_a", user).alias("other"), F.col("item_b").alias("item_id"))),

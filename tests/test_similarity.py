@@ -86,3 +86,21 @@ def test_pairs_that_cannot_qualify_are_not_made(spark):
     made = met.agg(F.sum("support")).first()[0]
     assert made < every / 4
     assert {(r.item_a, r.item_b) for r in met.filter("support >= 3").collect()} == set(brute_force(rows, 3))
+
+
+def test_signatures_meet_ratings_in_rounds(spark, monkeypatch):
+    """No table keeps a signature per rating, and rounds of users find the same pairs."""
+    draw = random.Random(9)
+    rows = [(draw.randrange(60), draw.randrange(40), float(draw.randrange(1, 6))) for _ in range(900)] + [(1, i, 3.0) for i in range(40)]
+    ratings = spark.createDataFrame(rows, "user_id bigint, item_id bigint, rating double")
+
+    def pairs():
+        return {(r.item_a, r.item_b): (round(r.similarity, 9), r.support) for r in similarity.item_pairs(ratings, 3, 20).collect()}
+
+    whole, kept = pairs(), []
+    down = similarity.set_down
+    monkeypatch.setattr(similarity, "ROUND_BYTES", 20_000)
+    monkeypatch.setattr(similarity, "set_down", lambda df, *a, **k: (kept.append(df.columns), down(df, *a, **k))[1])
+    assert pairs() == whole
+    assert sum("item_a" in columns for columns in kept) > 4
+    assert not [columns for columns in kept if "places" in columns and "user_id" in columns]
